@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstore.llm import mixing
-from foldstore.llm.runtime import cut, scratch, table
+from foldstore.llm import langid, mixing, toxicity
+from foldstore.llm.runtime import crc_mod, cut, scratch, table
 from foldstore.llm.token_rollup import DeltaRollup
 
 WS_1, ALNUM_1, ALNUM_2 = r"[^\x20\x09-\x0D]+", r"[A-Za-z]+|[0-9]+", r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    held = crc_mod("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT
+    return scored.select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four deliveries: all documents come in under two tokenizers; one tokenizer is revised for all of
     them; the revision is delivered again and changes nothing; exact copies of a smaller doc_id are deleted."""
@@ -36,12 +43,21 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    held = crc_mod("doc_id", langid.FOLDS) == langid.HELD_OUT
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of one epoch's budget, at 98 % of the entropy of equal sources or at most 4 readings of any."""
     return mixing.schedule(table(spark, sf_dir, "documents"), entropy_share=0.98, max_repeats=4.0, epochs=1.0, seed=7)
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_token_rollup": op4_token_rollup,
+    "op5_lang_id": op5_lang_id,
     "op10_temperature_mix": op10_temperature_mix,
 }
