@@ -1,5 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+OP3 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, source, lang, coalesce(length(text), 0) AS chars,
@@ -46,4 +55,4 @@ SELECT source, CAST(block AS INTEGER) AS block, CAST(position AS BIGINT) AS posi
 FROM ranked WHERE block < blocks OR cum <= rest
 """
 
-ORACLES = {"op4_token_rollup": OP4, "op10_temperature_mix": OP10}
+ORACLES = {"op3_warc": OP3, "op4_token_rollup": OP4, "op10_temperature_mix": OP10}

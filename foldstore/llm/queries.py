@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstore.llm import langid, mixing, toxicity
+from foldstore.llm import html_blocks, langid, mixing, packing, toxicity, warc
 from foldstore.llm.runtime import crc_mod, cut, scratch, table
 from foldstore.llm.token_rollup import DeltaRollup
 
@@ -19,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four deliveries: all documents come in under two tokenizers; one tokenizer is revised for all of
     them; the revision is delivered again and changes nothing; exact copies of a smaller doc_id are deleted."""
@@ -50,6 +55,14 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of one epoch's budget, at 98 % of the entropy of equal sources or at most 4 readings of any."""
     return mixing.schedule(table(spark, sf_dir, "documents"), entropy_share=0.98, max_repeats=4.0, epochs=1.0, seed=7)
@@ -57,7 +70,10 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_token_rollup": op4_token_rollup,
     "op5_lang_id": op5_lang_id,
+    "op6_html_extract": op6_html_extract,
+    "op8_best_fit": op8_best_fit,
     "op10_temperature_mix": op10_temperature_mix,
 }
