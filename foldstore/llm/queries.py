@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstore.llm import html_blocks, langid, mixing, packing, toxicity, warc
+from foldstore.llm import html_blocks, langid, media, mixing, packing, toxicity, warc
 from foldstore.llm.runtime import crc_mod, cut, scratch, table
 from foldstore.llm.token_rollup import DeltaRollup
 
 WS_1, ALNUM_1, ALNUM_2 = r"[^\x20\x09-\x0D]+", r"[A-Za-z]+|[0-9]+", r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -69,6 +73,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_webp": op1_webp,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_token_rollup": op4_token_rollup,
