@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstore.llm import html_blocks, langid, media, mixing, packing, toxicity, warc
+from foldstore.llm import html_blocks, jaccard_join, langid, media, mixing, packing, toxicity, warc
 from foldstore.llm.runtime import crc_mod, cut, scratch, table
 from foldstore.llm.token_rollup import DeltaRollup
 
@@ -67,6 +67,10 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of one epoch's budget, at 98 % of the entropy of equal sources or at most 4 readings of any."""
     return mixing.schedule(table(spark, sf_dir, "documents"), entropy_share=0.98, max_repeats=4.0, epochs=1.0, seed=7)
@@ -80,5 +84,6 @@ QUERIES = {
     "op5_lang_id": op5_lang_id,
     "op6_html_extract": op6_html_extract,
     "op8_best_fit": op8_best_fit,
+    "op9_ngram_join": op9_ngram_join,
     "op10_temperature_mix": op10_temperature_mix,
 }
