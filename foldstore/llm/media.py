@@ -96,6 +96,6 @@ def images(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *more], [*b.schema.names[:-1], "image", "width", "height", "file", "samples"])
 
     schema = whole.drop("media_text").schema
-    for name, kind in (("image", "int"), ("width", "int"), ("height", "int"), ("file", "binary"), ("samples", "binary")):
+    for name, kind in (("image", "integer"), ("width", "integer"), ("height", "integer"), ("file", "binary"), ("samples", "binary")):
         schema = schema.add(name, kind)
     return whole.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstore.llm import html_blocks, jaccard_join, langid, media, mixing, packing, toxicity, warc
+from foldstore.llm import ann, html_blocks, jaccard_join, langid, media, mixing, packing, toxicity, warc
 from foldstore.llm.runtime import crc_mod, cut, scratch, table
 from foldstore.llm.token_rollup import DeltaRollup
 
@@ -63,6 +63,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op4_token_rollup": op4_token_rollup,
     "op5_lang_id": op5_lang_id,
     "op6_html_extract": op6_html_extract,
+    "op7_kmeans_tree": op7_kmeans_tree,
     "op8_best_fit": op8_best_fit,
     "op9_ngram_join": op9_ngram_join,
     "op10_temperature_mix": op10_temperature_mix,
