@@ -16,6 +16,7 @@ Defined cases: a null or empty text is the single id 0; repeated rows are packed
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,45 +34,63 @@ CAPACITY = 2048
 BLOCK = 8192
 #: Underfull sequences among which the local search works, and the fill below which a sequence is packed again.
 NEIGHBOURS, AGAIN = 64, 0.97
-CACHE = 400_000
+#: Words in each generation of the table of known words.
+CACHE = 200_000
 #: Letters, digits and signs of Latin scripts and common punctuation: the tokenizer's normalisation only lower-cases these, and its classes are those of Python.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-ɏ–—‘’“”…]*")
 
 
 class WordTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
+
+    Ids of words are kept in two generations: when the younger is full it becomes the elder, and what the elder had is
+    forgotten unless it is met again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        bare = json.loads(self.whole.to_str())
+        bare["normalizer"] = None  # new words come lower-cased, in characters that normalisation doesn't change
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        """Tokenise words in one go; a token belongs to the word in which it starts."""
+        got = self.bare.encode(" ".join(new), add_special_tokens=False)
+        ids = np.asarray(got.ids, dtype="<u4")
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        last = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), ends)
+        data, first = ids.tobytes(), 0
+        for w, end in zip(new, (4 * last).tolist(), strict=True):
+            self.young[w] = data[first:end]
+            first = end
+
+    def _direct(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not PLAIN.fullmatch(text) or "<|" in text:
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._direct(text)
         words = text.lower().split()
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            new = list({w for w in words if w not in known})
-            # A text of more new words than the table takes is tokenised at once.
-            if len(new) > CACHE // 4:
-                return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            old = len(known)
-            self._learn(new)
-            if len(known) < old:
-                self._learn(list({w for w in words if w not in known}))
-            return b"".join(map(known.__getitem__, words))
+            new = {w for w in words if w not in self.young}
+            if len(new) > CACHE:
+                return self._direct(text)
+            if len(self.young) + len(new) > CACHE:
+                self.young, self.elder = {}, self.young
+                new = set(words)
+            old = {w: ids for w in new if (ids := self.elder.get(w)) is not None}
+            self.young.update(old)
+            if fresh := [w for w in new if w not in old]:
+                self._learn(fresh)
+            return b"".join(map(self.young.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
