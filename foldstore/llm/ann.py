@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from foldstore.llm.runtime import cut, small_batches
 
 SAMPLE = 131_072
-LEAF, BRANCHES, ROUNDS = 64, 16, 8
-CALIBRATION, RECALL = 256, 0.97
+#: About so many leaves, of so many sample vectors at least; a split has so many branches.
+LEAVES, LEAF, BRANCHES, ROUNDS = 192, 64, 16, 8
+CALIBRATION, RECALL = 256, 0.95
 #: Rows and queries of one block of a leaf.
 ROWS, QUERIES = 4096, 8192
 #: A query goes on until its leaves hold so many entries at least.
@@ -96,13 +97,15 @@ def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return squared(x, centres).argmin(1)
 
 
-def grow(sample: np.ndarray, leaf_size: int = LEAF, branches: int = BRANCHES) -> Tree:
+def grow(sample: np.ndarray, leaf_size: int | None = None, branches: int = BRANCHES) -> Tree:
+    """A tree whose leaves hold ``leaf_size`` sample vectors at most, unless these are equal."""
+    leaf_size = leaf_size or max(LEAF, len(sample) // LEAVES)
     centres, first, fan, leaf = [sample.mean(0)], [0], [0], [-1]
     work = [(0, np.arange(len(sample)))]
     leaves = 0
     while work:
         node, rows = work.pop()
-        part = k_means(sample[rows], min(branches, len(rows))) if len(rows) > leaf_size else np.zeros(len(rows), np.int64)
+        part = k_means(sample[rows], min(branches, max(2, -(-len(rows) // leaf_size)))) if len(rows) > leaf_size else np.zeros(len(rows), np.int64)
         kinds = np.unique(part)
         if len(kinds) < 2:
             leaf[node] = leaves
@@ -134,21 +137,34 @@ def valid(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return v.where(F.size("vector") == (lengths["n"] if lengths else 0)).withColumn("hash", F.xxhash64("vector"))
 
 
-def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query (its place, ids, distances) of its k nearest rows, exactly, ties to smaller ids."""
-    for a in range(0, len(q), 256):
-        rough = squared(q[a : a + 256], x)
-        for j in range(len(rough)):
-            d = rough[j]
-            if len(d) > k + 1:
-                bound = np.partition(d, k)[k]
-                some = np.flatnonzero(d <= bound + 1e-9 * (1 + bound))
-            else:
-                some = np.arange(len(d))
-            some = some[ids[some] != own[a + j]]
-            exact = np.sqrt(((x[some] - q[a + j]) ** 2).sum(1))
-            best = np.lexsort((ids[some], exact))[:k]
-            yield a + j, ids[some][best], exact[best]
+def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, id, distance) of the k nearest rows of each query, exactly, ties to smaller ids."""
+    places, found, away = [], [], []
+    most = min(len(x), k + 2)
+    for a in range(0, len(q) if most else 0, 256):
+        block, mine = q[a : a + 256], own[a : a + 256]
+        rough = squared(block, x)
+        some = np.argpartition(rough, most - 1, axis=1)[:, :most] if most < len(x) else np.tile(np.arange(most), (len(block), 1))
+        bound = np.take_along_axis(rough, some, 1).max(1)
+        # Rounding can hide a row behind the bound; queries with rows that close to it get them all.
+        close = (rough <= (bound + 1e-9 * (1 + bound))[:, None]).sum(1) > most
+        exact = np.sqrt(((x[some] - block[:, None, :]) ** 2).sum(2))
+        exact[ids[some] == mine[:, None]] = np.inf
+        order = np.lexsort((ids[some], exact), axis=1)[:, :k]
+        some, exact = np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+        keep = np.isfinite(exact) & ~close[:, None]
+        places.append(np.broadcast_to(np.arange(a, a + len(block))[:, None], keep.shape)[keep])
+        found.append(ids[some][keep])
+        away.append(exact[keep])
+        for j in np.flatnonzero(close):
+            near = np.flatnonzero((rough[j] <= bound[j] + 1e-9 * (1 + bound[j])) & (ids != mine[j]))
+            d = np.sqrt(((x[near] - block[j]) ** 2).sum(1))
+            best = np.lexsort((ids[near], d))[:k]
+            places.append(np.full(len(best), a + j))
+            found.append(ids[near][best])
+            away.append(d[best])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return join(places, np.int64), join(found, np.int64), join(away, np.float64)
 
 
 def visits(tree: Tree, index: DataFrame, k: int, recall: float = RECALL) -> int:
@@ -168,10 +184,8 @@ def visits(tree: Tree, index: DataFrame, k: int, recall: float = RECALL) -> int:
                 continue
             where = pd.Series(leaf, ids)
             where = where[~where.index.duplicated()]
-            got = list(_nearest(x, ids, q, own, k))
-            n = [len(g[1]) for g in got]
-            i = np.concatenate([g[1] for g in got])
-            cols = [np.repeat([g[0] for g in got], n).astype(np.int32), i, np.concatenate([g[2] for g in got]), where.loc[i].to_numpy().astype(np.int32)]
+            place, i, d = _nearest(x, ids, q, own, k)
+            cols = [place.astype(np.int32), i, d, where.loc[i].to_numpy().astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "vec_id", "score", "leaf"])
 
     near = index.select("vec_id", "vector", "leaf").mapInArrow(run, "query int, vec_id long, score double, leaf int")
@@ -249,9 +263,8 @@ def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", ve
         if not rows.num_rows or not asks.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         q = asks["query_id"].to_numpy()
-        got = list(_nearest(matrix(rows["vector"].combine_chunks()), rows["vec_id"].to_numpy(), matrix(asks["query"].combine_chunks()), q, k))
-        n = [len(g[1]) for g in got]
-        return pa.table([np.repeat(q[[g[0] for g in got]], n), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])], names)
+        place, ids, d = _nearest(matrix(rows["vector"].combine_chunks()), rows["vec_id"].to_numpy(), matrix(asks["query"].combine_chunks()), q, k)
+        return pa.table([q[place], ids, d], names)
 
     found = left.groupBy("leaf", "r", "a").cogroup(right.groupBy("leaf", "r", "a")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
