@@ -21,7 +21,7 @@ whose pivots then form a region of their own.
 Copies with equal sets are one node throughout, however many there are, so no group of copies is ever expanded into
 pairs; members of one class are never paired either.
 
-Shared state has a fixed size: 2^22 counters for the order and 2^22 bits that tell which documents' texts are read
+Shared state has a bound: 2^20 frequent shingles for the order, and 2^22 bits that tell which documents' texts are read
 again. Neither decides a result.
 
 Defined cases: null and empty texts, and texts without words, have size 0 and link with nothing; a text of fewer than 5
@@ -44,9 +44,11 @@ from foldstore.llm.runtime import cut, small_batches
 WORDS = 5
 #: Links at 100 * intersection >= PERCENT * union.
 PERCENT = 75
-ORDER_BITS = 22
-#: A task reports the counters that reach this; others count as rare.
-FREQUENT = 8
+ORDER_BITS = 26
+#: A task reports the counters that reach the first number; in all, those that reach the second are frequent, and so many of them are told apart.
+REPORTED, FREQUENT, MOST_FREQUENT = 2, 8, 1 << 20
+#: Leaders, of those that share most pivots with it, that a document is measured against before the exact pass.
+LEADERS = 3
 #: Documents of one part of a frequent shingle's region, about.
 PART = 4096
 READ_BITS = 22
@@ -111,47 +113,69 @@ def _measure(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, n, high, node), and rows (bucket, count) for the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int32)
+        counts = np.zeros(1 << ORDER_BITS, np.uint8)
         names = [x.split()[0] for x in MEASURED.split(", ")]
         for b in batches:
-            rows = []
+            rows, buckets, held = [], [], 0
             for s in shingle_sets(b.column(1)):
-                np.add.at(counts, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
+                buckets.append(_bucket(s))
+                held += len(s)
+                if held > 1_000_000:
+                    _count(counts, buckets)
+                    buckets, held = [], 0
                 rows.append((len(s), *content_hash(s)))
+            _count(counts, buckets)
             n, high, node = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
             none = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(high), pa.array(node), *none], names)
-        at = np.flatnonzero(counts >= FREQUENT)
+        at = np.flatnonzero(counts >= REPORTED)
         none = [pa.nulls(len(at), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names)
 
     return docs.mapInArrow(run, MEASURED)
 
 
-def _order(measured: DataFrame) -> np.ndarray:
-    """Class of each bucket: 0 rare, else the logarithm of what its count has above the usual load of a bucket."""
-    usual = (measured.agg(F.sum("n").alias("n")).first()["n"] or 0) / (1 << ORDER_BITS)
-    rows = measured.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()  # 2^22 rows at most
-    out = np.zeros(1 << ORDER_BITS, np.uint8)
-    out[rows["bucket"].to_numpy()] = np.log2(np.maximum(rows["count"].to_numpy() - 4 * usual, 1)).astype(np.uint8)
-    return out
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - ORDER_BITS)).astype(np.uint32)
+
 
+def _count(counts: np.ndarray, buckets: list[np.ndarray]) -> None:
+    """Add to counters that stop at 255."""
+    if buckets:
+        at, n = np.unique(np.concatenate(buckets), return_counts=True)
+        counts[at] = np.minimum(counts[at] + n, 255)
 
-def in_order(s: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The window of a set: its first pivots in the global order, and their classes."""
-    c = classes[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+
+def _order(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent buckets, sorted; their classes): the logarithm of what a count has above the usual load of a bucket."""
+    usual = (measured.agg(F.sum("n").alias("n")).first()["n"] or 0) / (1 << ORDER_BITS)
+    sums = measured.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT + 4 * usual)
+    rows = sums.orderBy(F.desc("count"), "bucket").limit(MOST_FREQUENT).toArrow()
+    at = rows["bucket"].to_numpy().astype(np.uint32)
+    k = np.argsort(at)
+    return at[k], np.log2(rows["count"].to_numpy()[k]).astype(np.uint8)
+
+
+def in_order(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The window of a set: its first pivots in the global order, and their classes, 0 for rare ones."""
+    at, classes = frequent
+    c = np.zeros(len(s), np.uint8)
+    if len(at):
+        b = _bucket(s)
+        k = np.minimum(np.searchsorted(at, b), len(at) - 1)
+        c = np.where(at[k] == b, classes[k], 0)
     k = np.argsort(c, kind="stable")[: window(len(s))]  # s is sorted, so ties follow the hash
     return s[k], c[k]
 
 
-def _replicate(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(pivot, part, node, n) for every pivot in a document's window; part is -1 where the pivot's region is whole."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _replicate(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(pivot, part, node, n, pos) for every pivot in a document's window; part is -1 where the pivot's region is whole."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            pivots, parts, nodes, sizes = [], [], [], []
+            pivots, parts, nodes, sizes, places = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 if not len(s):
                     continue
@@ -166,11 +190,12 @@ def _replicate(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 parts.append(np.where(share > 1, (node & 0x7FFFFFFF) % share, -1).astype(np.int32))
                 nodes.append(np.full(len(p), node, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int64))
+                places.append(np.arange(1, len(p) + 1, dtype=np.int32))
             if pivots:
-                cols = [np.concatenate(pivots).view(np.int64), np.concatenate(parts), np.concatenate(nodes), np.concatenate(sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pivot", "part", "node", "n"])
+                cols = [np.concatenate(pivots).view(np.int64), np.concatenate(parts), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pivot", "part", "node", "n", "pos"])
 
-    return docs.mapInArrow(run, "pivot long, part int, node long, n long")
+    return docs.mapInArrow(run, "pivot long, part int, node long, n long, pos int")
 
 
 def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
@@ -200,25 +225,24 @@ def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, what: s
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
 
 
-def components(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label) with the least label of each connected component; labels: (node, label) for every node of links (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) with the least id of each connected component, for every id of links (a, b).
 
-    Rounds of taking the least label of all neighbours and following labels to their own label; each round is written
-    to the shared folder, so that the lineage stays short.
+    Rounds of contraction: every class takes the least class that it touches and what that one takes, and links within
+    a class go. A class is named after its least id, so the last name is the component's least id. What is left halves
+    with every round at least; each round is written to the shared folder, so that the lineage stays short.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "cc-links")
-    now = cut(labels, "cc-labels")
-    while True:
-        near = both.join(now.select(F.col("node").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        least = now.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "theirs").alias("fresh"))
-        # A label is the id of some node of the component: its own label may be less already.
-        step = least.groupBy("label").agg(F.min("fresh").alias("least_of_label")).withColumnRenamed("label", "l")
-        least = least.join(step, F.col("label") == F.col("l")).select("node", "label", F.least("fresh", "least_of_label").alias("fresh"))
-        least = cut(least, "cc-round")
-        changed = least.where("fresh < label").limit(1).count()
-        now = least.select("node", F.col("fresh").alias("label"))
-        if not changed:
-            return now
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
+    left = cut(links.where("a <> b").select("a", "b").distinct(), "cc-links")
+    names = cut(both(links).select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "cc-names")
+    while left.limit(1).count():
+        near = cut(both(left).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "cc-near")
+        far = near.select(F.col("a").alias("to"), F.col("to").alias("on"))
+        step = cut(near.join(far, "to", "left").select(F.col("a").alias("old"), F.coalesce("on", "to").alias("new")), "cc-step")
+        to = lambda c, name: step.select(F.col("old").alias(c), F.col("new").alias(name))
+        left = cut(left.join(to("a", "x"), "a").join(to("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "cc-links")
+        names = cut(names.join(to("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label")), "cc-names")
+    return names
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -237,7 +261,7 @@ def join(docs: DataFrame) -> DataFrame:
     region = Window.partitionBy("pivot", "part")
     regions = rows.withColumn("leader", F.min("node").over(region)).withColumn("last", F.max("node").over(region)).withColumn("nl", F.min_by("n", "node").over(region))
     parted = F.col("part") >= 0  # the pivot of a part stands for it in the region of its shingle, even if it is alone
-    regions = regions.where((F.col("leader") < F.col("last")) | parted).select("pivot", "part", "node", "n", "leader", "nl")
+    regions = regions.where((F.col("leader") < F.col("last")) | parted).select("pivot", "part", "node", "n", "pos", "leader", "nl")
     regions = cut(regions.distinct(), "join-regions")
 
     star = regions.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
@@ -246,39 +270,46 @@ def join(docs: DataFrame) -> DataFrame:
     top = Window.partitionBy("pivot")
     heads = heads.withColumn("a", F.min("node").over(top)).withColumn("na", F.min_by("n", "node").over(top)).where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
     star = star.union(heads).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    # Stars only make classes early; pairs with few shared pivots can wait for the exact pass below.
-    star = star.where(_sizes_allow(F.col("na"), F.col("nb")) & (F.col("shared") * 4 >= least_common(F.col("na"), F.col("nb")))).drop("shared")
+    # Stars only make classes early; what they leave out waits for the exact pass below.
+    star = star.where(_sizes_allow(F.col("na"), F.col("nb")) & (F.col("shared") * 4 >= least_common(F.col("na"), F.col("nb"))))
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    star = star.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS).drop("shared", "nth")
     star = cut(_measured_pairs(cut(star, "join-star"), docs, nodes, "star"), "join-star-measured")
     linked = F.lit(100) * F.col("common") >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("common"))
-    links = star.where(linked).select("a", "b")
-    of = lambda e: e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("rep").alias("label"))
-    classes = components(links, of(links))
+    named = lambda e, la, lb: e.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias(la)), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias(lb)), "b")
+    links = named(star.where(linked), "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    classes = components(links).select(F.col("node").alias("rep"), "label")
 
     # Pairs of different classes that some region holds; a node without a link is a class of its own.
-    label = nodes.join(classes, "node", "left").select("node", F.coalesce("label", "rep", "node").alias("label"))
+    label = cut(nodes.join(classes, "rep", "left").select("node", "copies", "rep", F.coalesce("label", "rep", "node").alias("label")), "join-labels")
     apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
-    seen = cut(regions.select("pivot", "node", "n", "leader").join(label, "node"), "join-classes")
+    seen = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
     mixed = seen.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
     seen = seen.join(mixed, "pivot").join(apart, ["leader", "node"], "left")
-    seen = seen.select("pivot", "leader", "node", "n", "label", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"), (F.col("label") != F.col("main")).alias("stray"))
+    seen = seen.select("pivot", "leader", "node", "n", "pos", "label", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"), (F.col("label") != F.col("main")).alias("stray"))
     seen = cut(seen, "join-seen")
-    x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "label", "away")])
-    y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "label", "away", "stray")])
+    x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "pos", "label", "away")])
+    y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "stray")])
     c = F.col
     other = c("x_label") != c("y_label")
     once = ~c("y_stray") | (c("x_node") < c("y_node"))
     near = F.coalesce((c("x_leader") != c("y_leader")) | (F.abs(c("x_away") - c("y_away")) <= 1 - PERCENT / 100 + 1e-9), F.lit(True))
-    pairs = x.join(y, "pivot").where(other & once & _sizes_allow(c("x_n"), c("y_n")) & near)
+    # Of least_common pivots half are asked for, within windows that are shorter by the other half.
+    half = F.ceil(least_common(c("x_n"), c("y_n")) / 2)
+    within = lambda n, pos: c(pos) <= c(n) - _overlap(c("x_n"), c("y_n")) + half
+    pairs = x.join(y, "pivot").where(other & once & _sizes_allow(c("x_n"), c("y_n")) & within("x_n", "x_pos") & within("y_n", "y_pos") & near)
     low = c("x_node") < c("y_node")
     pick = lambda f, g, name: F.when(low, c(f)).otherwise(c(g)).alias(name)
     pairs = pairs.select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= least_common(c("na"), c("nb"))).drop("shared")
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= F.ceil(least_common(c("na"), c("nb")) / 2)).drop("shared")
     pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = cut(_measured_pairs(cut(pairs, "join-rest"), docs, nodes, "rest"), "join-rest-measured").where(linked).select("a", "b")
+    rest = cut(_measured_pairs(cut(pairs, "join-rest"), docs, nodes, "rest"), "join-rest-measured").where(linked)
 
-    links = cut(links.union(rest), "join-links")
-    found = components(links, of(links))
-    known = nodes.join(found, "node", "left").where("copies > 1 or label is not null").select("node", F.coalesce("label", "rep").alias("component"))
+    # The classes so far are nodes of what the exact pass adds.
+    whole = label.select("node", "label")
+    more = rest.join(whole.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(whole.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    found = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    known = label.join(found, "label", "left").withColumn("component", F.coalesce("final", "label")).where("copies > 1 or component <> rep").select("node", "component")
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     every = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return every.join(known, ["node", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(c("n") == 0, c("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
