@@ -49,6 +49,8 @@ ORDER_BITS = 26
 REPORTED, FREQUENT, MOST_FREQUENT = 2, 8, 1 << 20
 #: Leaders, of those that share most pivots with it, that a document is measured against before the exact pass.
 LEADERS = 3
+#: Nodes of a class whose document with the least id becomes a pivot of its own for the exact pass.
+LARGE = 8
 #: Documents of one part of a frequent shingle's region, about.
 PART = 4096
 READ_BITS = 22
@@ -252,10 +254,10 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = cut(_measure(docs), "join-measured")
     members = measured.where("bucket is null").select("doc_id", "n", "high", "node")
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("high").alias("h0"), F.max("high").alias("h1"), F.count(F.lit(1)).alias("copies"))
+    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("high").alias("h0"), F.max("high").alias("h1"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("size"))
     # 64 bits name a set; should two sets ever share a name, the upper 64 bits show it and the job stops.
     clash = F.when(F.col("h0") != F.col("h1"), F.raise_error(F.lit("two sets of shingles share a 64-bit name"))).otherwise(F.col("rep"))
-    nodes = cut(nodes.select("node", clash.alias("rep"), "copies"), "join-nodes")
+    nodes = cut(nodes.select("node", clash.alias("rep"), "copies", "size"), "join-nodes")
 
     rows = _replicate(docs, _order(measured))
     region = Window.partitionBy("pivot", "part")
@@ -281,19 +283,29 @@ def join(docs: DataFrame) -> DataFrame:
     classes = components(links).select(F.col("node").alias("rep"), "label")
 
     # Pairs of different classes that some region holds; a node without a link is a class of its own.
-    label = cut(nodes.join(classes, "rep", "left").select("node", "copies", "rep", F.coalesce("label", "rep", "node").alias("label")), "join-labels")
+    label = cut(nodes.join(classes, "rep", "left").select("node", "copies", "size", "rep", F.coalesce("label", "rep", "node").alias("label")), "join-labels")
     apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
     seen = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
     mixed = seen.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
     seen = seen.join(mixed, "pivot").join(apart, ["leader", "node"], "left")
-    seen = seen.select("pivot", "leader", "node", "n", "pos", "label", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"), (F.col("label") != F.col("main")).alias("stray"))
+    seen = seen.select("pivot", "leader", "node", "n", "pos", "label", "main", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"))
     seen = cut(seen, "join-seen")
-    x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "pos", "label", "away")])
-    y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "stray")])
+    # What meets a large class is measured from the class's own pivot: within 1/4 it belongs to the class, and the
+    # window of its distance tells which members it can link with at all.
+    large = label.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("rep") == F.col("label"), F.col("node"))).alias("centre"), F.min(F.when(F.col("rep") == F.col("label"), F.col("size"))).alias("nc")).where(F.col("members") >= LARGE)
+    towards = seen.select("node", "n", "main").distinct().join(large, "main").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"))
+    towards = cut(_measured_pairs(cut(towards, "join-towards"), docs, nodes, "towards"), "join-towards-measured")
+    middle = towards.join(large.select(F.col("centre").alias("b"), "main"), "b").select(F.col("a").alias("node"), "main", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("mid"), linked.alias("in_main"))
+    seen = seen.join(middle, ["node", "main"], "left")
+    seen = seen.withColumn("stray", (F.col("label") != F.col("main")) & ~F.coalesce("in_main", F.lit(False)))
+    seen = cut(seen.select("pivot", "leader", "node", "n", "pos", F.when(F.col("stray"), F.col("label")).otherwise(F.col("main")).alias("label"), "away", "mid", "stray"), "join-strays")
+    x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid")])
+    y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid", "stray")])
     c = F.col
     other = c("x_label") != c("y_label")
     once = ~c("y_stray") | (c("x_node") < c("y_node"))
-    near = F.coalesce((c("x_leader") != c("y_leader")) | (F.abs(c("x_away") - c("y_away")) <= 1 - PERCENT / 100 + 1e-9), F.lit(True))
+    limit = 1 - PERCENT / 100 + 1e-9
+    near = F.coalesce(F.abs(c("x_mid") - c("y_mid")) <= limit, F.lit(True)) & F.coalesce((c("x_leader") != c("y_leader")) | (F.abs(c("x_away") - c("y_away")) <= limit), F.lit(True))
     # Of least_common pivots half are asked for, within windows that are shorter by the other half.
     half = F.ceil(least_common(c("x_n"), c("y_n")) / 2)
     within = lambda n, pos: c(pos) <= c(n) - _overlap(c("x_n"), c("y_n")) + half
@@ -307,7 +319,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     # The classes so far are nodes of what the exact pass adds.
     whole = label.select("node", "label")
-    more = rest.join(whole.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(whole.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    more = rest.select("a", "b").union(towards.where(linked).select("a", "b")).join(whole.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(whole.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
     found = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
     known = label.join(found, "label", "left").withColumn("component", F.coalesce("final", "label")).where("copies > 1 or component <> rep").select("node", "component")
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
