@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldstore.llm import hashing
-from foldstore.llm.runtime import cut, small_batches
+from foldstore.llm.runtime import cut, release, small_batches
 
 WORDS = 5
 #: Links at 100 * intersection >= PERCENT * union.
@@ -265,6 +265,7 @@ def join(docs: DataFrame) -> DataFrame:
     parted = F.col("part") >= 0  # the pivot of a part stands for it in the region of its shingle, even if it is alone
     regions = regions.where((F.col("leader") < F.col("last")) | parted).select("pivot", "part", "node", "n", "pos", "leader", "nl")
     regions = cut(regions.distinct(), "join-regions")
+    release(spark)
 
     star = regions.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
     split = regions.where(parted).select("pivot").distinct()
@@ -277,6 +278,7 @@ def join(docs: DataFrame) -> DataFrame:
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     star = star.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS).drop("shared", "nth")
     star = cut(_measured_pairs(cut(star, "join-star"), docs, nodes, "star"), "join-star-measured")
+    release(spark)
     linked = F.lit(100) * F.col("common") >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("common"))
     named = lambda e, la, lb: e.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias(la)), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias(lb)), "b")
     links = named(star.where(linked), "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -285,20 +287,24 @@ def join(docs: DataFrame) -> DataFrame:
     # Pairs of different classes that some region holds; a node without a link is a class of its own.
     label = cut(nodes.join(classes, "rep", "left").select("node", "copies", "size", "rep", F.coalesce("label", "rep", "node").alias("label")), "join-labels")
     apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
-    seen = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
-    mixed = seen.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
-    seen = seen.join(mixed, "pivot").join(apart, ["leader", "node"], "left")
+    classed = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
+    release(spark, regions)
+    mixed = classed.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
+    seen = classed.join(mixed, "pivot").join(apart, ["leader", "node"], "left")
     seen = seen.select("pivot", "leader", "node", "n", "pos", "label", "main", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"))
-    seen = cut(seen, "join-seen")
+    cut_seen = seen = cut(seen, "join-seen")
+    release(spark, classed)
     # What meets a large class is measured from the class's own pivot: within 1/4 it belongs to the class, and the
     # window of its distance tells which members it can link with at all.
     large = label.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("rep") == F.col("label"), F.col("node"))).alias("centre"), F.min(F.when(F.col("rep") == F.col("label"), F.col("size"))).alias("nc")).where(F.col("members") >= LARGE)
     towards = seen.select("node", "n", "main").distinct().join(large, "main").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"))
     towards = cut(_measured_pairs(cut(towards, "join-towards"), docs, nodes, "towards"), "join-towards-measured")
+    release(spark)
     middle = towards.join(large.select(F.col("centre").alias("b"), "main"), "b").select(F.col("a").alias("node"), "main", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("mid"), linked.alias("in_main"))
     seen = seen.join(middle, ["node", "main"], "left")
     seen = seen.withColumn("stray", (F.col("label") != F.col("main")) & ~F.coalesce("in_main", F.lit(False)))
     seen = cut(seen.select("pivot", "leader", "node", "n", "pos", F.when(F.col("stray"), F.col("label")).otherwise(F.col("main")).alias("label"), "away", "mid", "stray"), "join-strays")
+    release(spark, cut_seen)
     x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid")])
     y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid", "stray")])
     c = F.col
@@ -315,7 +321,10 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = pairs.select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"))
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= F.ceil(least_common(c("na"), c("nb")) / 2)).drop("shared")
     pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = cut(_measured_pairs(cut(pairs, "join-rest"), docs, nodes, "rest"), "join-rest-measured").where(linked)
+    pairs = cut(pairs, "join-rest")
+    release(spark, seen)
+    rest = cut(_measured_pairs(pairs, docs, nodes, "rest"), "join-rest-measured").where(linked)
+    release(spark)
 
     # The classes so far are nodes of what the exact pass adds.
     whole = label.select("node", "label")

@@ -68,3 +68,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once: Arrow batches of at most so many rows and 32 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Clear working tables that were read for the last time, and let Spark drop the shuffle files of what is written.
+
+    Spark drops a shuffle's files when the driver collects the plan that made them; a driver with a large heap may not
+    do so for long, while the disks of the executors fill.
+    """
+    for t in tables:
+        remove(spark, *{f.rpartition("/")[0] for f in t.inputFiles()[:1]})
+    spark._jvm.System.gc()
