@@ -220,7 +220,7 @@ def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, what: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set_node", "shingles"])
 
     sets = some.mapInArrow(run, "doc_id long, set_node long, shingles array<long>")
-    sets = sets.join(involved, (F.col("doc_id") == F.col("set_id")) & (F.col("set_node") == F.col("node"))).select("node", "shingles").dropDuplicates(["node"])
+    sets = sets.join(involved, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("set_node") == F.col("node"))).select("node", "shingles").dropDuplicates(["node"])
     sets = cut(sets, f"{what}-sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -280,12 +280,14 @@ def join(docs: DataFrame) -> DataFrame:
     star = cut(_measured_pairs(cut(star, "join-star"), docs, nodes, "star"), "join-star-measured")
     release(spark)
     linked = F.lit(100) * F.col("common") >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("common"))
-    named = lambda e, la, lb: e.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias(la)), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias(lb)), "b")
+    # A node whose rows all have a null id goes by its own number until the end.
+    name = F.coalesce("rep", "node")
+    named = lambda e, la, lb: e.join(nodes.select(F.col("node").alias("a"), name.alias(la)), "a").join(nodes.select(F.col("node").alias("b"), name.alias(lb)), "b")
     links = named(star.where(linked), "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    classes = components(links).select(F.col("node").alias("rep"), "label")
+    classes = components(links).select(F.col("node").alias("name"), "label")
 
     # Pairs of different classes that some region holds; a node without a link is a class of its own.
-    label = cut(nodes.join(classes, "rep", "left").select("node", "copies", "size", "rep", F.coalesce("label", "rep", "node").alias("label")), "join-labels")
+    label = cut(nodes.withColumn("name", name).join(classes, "name", "left").select("node", "copies", "size", "rep", F.coalesce("label", "name").alias("label")), "join-labels")
     apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
     classed = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
     release(spark, regions)
@@ -296,7 +298,7 @@ def join(docs: DataFrame) -> DataFrame:
     release(spark, classed)
     # What meets a large class is measured from the class's own pivot: within 1/4 it belongs to the class, and the
     # window of its distance tells which members it can link with at all.
-    large = label.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("rep") == F.col("label"), F.col("node"))).alias("centre"), F.min(F.when(F.col("rep") == F.col("label"), F.col("size"))).alias("nc")).where(F.col("members") >= LARGE)
+    large = label.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(name == F.col("label"), F.col("node"))).alias("centre"), F.min(F.when(name == F.col("label"), F.col("size"))).alias("nc")).where(F.col("members") >= LARGE)
     towards = seen.select("node", "n", "main").distinct().join(large, "main").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"))
     towards = cut(_measured_pairs(cut(towards, "join-towards"), docs, nodes, "towards"), "join-towards-measured")
     release(spark)
@@ -330,7 +332,11 @@ def join(docs: DataFrame) -> DataFrame:
     whole = label.select("node", "label")
     more = rest.select("a", "b").union(towards.where(linked).select("a", "b")).join(whole.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(whole.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
     found = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
-    known = label.join(found, "label", "left").withColumn("component", F.coalesce("final", "label")).where("copies > 1 or component <> rep").select("node", "component")
+    known = label.join(found, "label", "left").withColumn("component", F.coalesce("final", "label"))
+    unnamed = known.where("rep is null").select("component").distinct()
+    least = known.join(unnamed, "component").groupBy("component").agg(F.min("rep").alias("least"), F.lit(True).alias("renamed"))
+    known = known.join(least, "component", "left").withColumn("component", F.when(c("renamed"), c("least")).otherwise(c("component")))
+    known = known.where("copies > 1 or rep is null or component <> rep").select("node", "component")
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     every = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return every.join(known, ["node", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(c("n") == 0, c("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))

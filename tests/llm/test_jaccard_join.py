@@ -97,3 +97,16 @@ def test_windows_hold_a_shared_pivot():
         reach = min(J.window(len(s)) - len(s) + o for s in (x, y))
         shared = len(set(sorted(x)[: J.window(len(x))]) & set(sorted(y)[: J.window(len(y))]))
         assert shared >= max(1, reach)
+
+
+def test_near_copies_under_null_ids(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for k in range(12):
+        w = [word() for _ in range(100)]
+        first, last = [word(), *w[1:]], [*w[:-1], word()]
+        # The middle one, which has no id, links the outer two only through itself now and then.
+        rows += [(10 * k + 7, " ".join([*first[:94], *[word() for _ in range(6)]])), (None, " ".join(w)), (10 * k + 9, " ".join([*[word() for _ in range(7)], *last[7:]]))]
+    rows += [(None, " ".join(map(str, range(50))))] * 3 + [(None, word())]
+    assert run(spark, rows) == brute(rows)
