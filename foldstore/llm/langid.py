@@ -94,15 +94,19 @@ class Profiles:
             self.rank[profiles[lang], k] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.measure(text)[:2]
+
+    def measure(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the distance to it, relative to that of a text that shares no n-gram."""
         top = ranked(numbers(text)) if text else np.zeros(0, np.int32)
         if not len(top) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 1.0
         theirs = self.rank[top].astype(np.int32)
         place = np.arange(len(top), dtype=np.int32)[:, None]
         away = np.where(theirs == PROFILE, PROFILE, np.abs(theirs - place)).sum(0)
         best = int(away.argmin())
         near = np.exp(-SHARPNESS * (away - away[best]) / (PROFILE * len(top)))
-        return self.langs[best], float(1 / near.sum())
+        return self.langs[best], float(1 / near.sum()), float(away[best] / (PROFILE * len(top)))
 
 
 def fit(docs: DataFrame) -> dict[str, list[int]]:
@@ -144,6 +148,11 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, its lang_pred and lang_score."""
+    return measure(docs, profiles, keep).drop("lang_away")
+
+
+def measure(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]) -> DataFrame:
+    """As ``predict``, with the relative distance to the language as lang_away."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(profiles)
@@ -152,9 +161,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(shared.value)
         for b in batches:
-            got = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [model.measure(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names[:-1], "lang_pred", "lang_score"]
+                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), *[pa.array([g[k] for g in got], pa.float64()) for k in (1, 2)]], [*b.schema.names[:-1], "lang_pred", "lang_score", "lang_away"]
             )
 
-    return whole.mapInArrow(run, whole.drop("lang_text").schema.add("lang_pred", "string").add("lang_score", "double"))
+    return whole.mapInArrow(run, whole.drop("lang_text").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_away", "double"))

@@ -31,3 +31,10 @@ def test_empty_table(spark, corpus, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     assert C.run(spark, path).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_language_stage_rejects_what_no_language_is_near_to(spark):
+    text = "the quick brown fox and the lazy dog went over the hill to see what was there for them"
+    rows = [(i, " ".join(text.split()[i % 5 :]), "en" if i % 3 else None) for i in range(60)] + [(60, "ж # жщ фюэ!", None), (61, "123 !", None)]
+    back = C.language_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(r.doc_id for r in back.collect()) == list(range(60)) and back.columns == ["doc_id", "text", "lang"]
