@@ -12,48 +12,69 @@ Windows. By the triangle inequality two linked documents of sizes m and n differ
 document of size n can meet a partner only at one of its first n - ceil(3n/4) + 1 pivots, and it is replicated to just
 these. The same bound says how many of them two linked documents share at least, see ``least_common``.
 
-Within a region, recursively: the document with the least id is the pivot of the region, all others are measured from
-it, and those within 1/4 join its class. What is left are pairs of different classes. Those are narrowed by the windows
-of the region's pivot (distances to it that differ by over 1/4 exclude a link), by sizes and by the number of shared
-pivots, and what remains is compared, exactly, on whole sets. Regions of frequent shingles are dealt into parts first,
-whose pivots then form a region of their own.
+Within regions documents are the pivots. Every document is measured from the leader that seems nearest to it, and those
+within 1/4 of each other are one class from then on. Large regions that still hold several classes are divided again,
+``ROUNDS`` times: some of their documents, drawn by hash, are pivots, every other document goes to the Voronoi region of
+the one that seems nearest, is measured from it, and joins its class if it lies within 1/4. What is left are pairs of
+different classes. They are narrowed by the windows of the pivots that both were measured from (distances that differ by
+over 1/4 exclude a link), by sizes, by the number of shared pivots and by sketches, and what remains is compared,
+exactly, on whole sets. Regions of frequent shingles are dealt into parts first.
+
+Sketches. A sketch is the parity of the shingles that fall to each of ``SKETCH`` places. The places where two sketches
+differ never outnumber the symmetric difference of the sets, a metric too, so that more than (m + n)/7 of them exclude a
+link: exactly, and before a pair becomes a row. "Seems nearest" above is by the same number.
 
 Copies with equal sets are one node throughout, however many there are, so no group of copies is ever expanded into
-pairs; members of one class are never paired either.
+pairs; members of one class are never paired either. A node goes by 64 bits of its content's 128-bit digest; the few
+that share them (one pair in 6 billion nodes is to be expected) go by the other 64.
 
-Shared state has a bound: 2^20 frequent shingles for the order, and 2^22 bits that tell which documents' texts are read
+Shared state has a bound: 2^20 frequent shingles for the order, and 2^24 bits that tell which documents' texts are read
 again. Neither decides a result.
 
 Defined cases: null and empty texts, and texts without words, have size 0 and link with nothing; a text of fewer than 5
 words is one shingle; repeated rows are copies; documents with a null id are measured and form no class id of their
-own (the class id is the smallest id that isn't null, null if there is none); an empty table gives no rows.
+own (the class id is the smallest id that isn't null, null if there is none); very long texts are one set, held by one
+task at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldstore.llm import hashing
-from foldstore.llm.runtime import cut, release, small_batches
+from foldstore.llm.runtime import cut, passing, small_batches
 
 WORDS = 5
 #: Links at 100 * intersection >= PERCENT * union.
 PERCENT = 75
-ORDER_BITS = 26
-#: A task reports the counters that reach the first number; in all, those that reach the second are frequent, and so many of them are told apart.
+#: Shingles are counted by so many bits of their hashes, and pivots are known by so many.
+COUNT_BITS, PIVOT_BITS = 40, 56
+#: A task reports shingles that it counted so often; in all, those that reach the second number are frequent, and so many of them are told apart.
 REPORTED, FREQUENT, MOST_FREQUENT = 2, 8, 1 << 20
-#: Leaders, of those that share most pivots with it, that a document is measured against before the exact pass.
+#: Shingles that a task counts, and replicas that it gathers, before it hands them on.
+COUNTED_AT_ONCE, REPLICAS_AT_ONCE = 2_000_000, 1_000_000
+#: Replicas of one bucket of regions, about.
+BUCKET = 500_000
+#: Leaders, of those that share most pivots with it, among which a document looks for the nearest.
 LEADERS = 3
-#: Nodes of a class whose document with the least id becomes a pivot of its own for the exact pass.
-LARGE = 8
+#: Documents of a region that is divided again, how often that is done, and into how many.
+LARGE, ROUNDS, PIVOTS = 8, 2, 16
 #: Documents of one part of a frequent shingle's region, about.
 PART = 4096
-READ_BITS = 22
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 8
+SKETCH = 64 * SKETCH_WORDS
+#: Sketches of unrelated sets differ in half of their places; up to so many say that two documents seem near.
+TELLING = SKETCH * 35 // 100
+#: Shingles that are measured from one copy of a pivot.
+TURN = 200_000
 SALTS = 16
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 
@@ -84,6 +105,21 @@ def content_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+@dataclass(frozen=True)
+class Names:
+    """What a set goes by: the lower half of its digest, or the upper one where sets share the lower."""
+
+    digest: Callable[[np.ndarray], tuple[int, int]]
+    clashes: frozenset[int] = frozenset()
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        high, low = self.digest(shingles)
+        return high if low in self.clashes else low
+
+    def column(self) -> Column:
+        return F.when(F.col("low").isin(list(self.clashes)), F.col("high")).otherwise(F.col("low")) if self.clashes else F.col("low")
+
+
 def window(n: int) -> int:
     """How many of its first pivots a document of n shingles is replicated to."""
     return n - (PERCENT * n + 99) // 100 + 1
@@ -108,52 +144,67 @@ def _sizes_allow(m, n):
     return F.lit(100) * F.least(m, n) >= F.lit(PERCENT) * F.greatest(m, n)
 
 
-MEASURED = "doc_id long, n long, high long, node long, bucket int, count long"
+def _linked(common: Column, m: Column, n: Column) -> Column:
+    return F.lit(100) * common >= F.lit(PERCENT) * (m + n - common)
 
 
-def _measure(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, high, node), and rows (bucket, count) for the order of shingles."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles by place, as signed 64-bit words."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.uint8)
-        names = [x.split()[0] for x in MEASURED.split(", ")]
-        for b in batches:
-            rows, buckets, held = [], [], 0
-            for s in shingle_sets(b.column(1)):
-                buckets.append(_bucket(s))
-                held += len(s)
-                if held > 1_000_000:
-                    _count(counts, buckets)
-                    buckets, held = [], 0
-                rows.append((len(s), *content_hash(s)))
-            _count(counts, buckets)
-            n, high, node = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            none = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(high), pa.array(node), *none], names)
-        at = np.flatnonzero(counts >= REPORTED)
-        none = [pa.nulls(len(at), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names)
 
-    return docs.mapInArrow(run, MEASURED)
+SKETCHES = [f"k{i}" for i in range(SKETCH_WORDS)]
+
+
+def _differing(x: str, y: str) -> Column:
+    """Places where two sketches differ, of columns with these prefixes."""
+    return sum((F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in SKETCHES[1:]), F.bit_count(F.col(f"{x}k0").bitwiseXOR(F.col(f"{y}k0"))))
+
+
+def _sketches_allow(differing: Column, m: Column, n: Column) -> Column:
+    """Linked documents differ in m + n - 2 * overlap shingles at most."""
+    return differing <= m + n - 2 * _overlap(m, n)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - ORDER_BITS)).astype(np.uint32)
+MEASURED = "doc_id long, n long, high long, low long, " + ", ".join(f"{k} long" for k in SKETCHES) + ", shingle long, count long"
 
 
-def _count(counts: np.ndarray, buckets: list[np.ndarray]) -> None:
-    """Add to counters that stop at 255."""
-    if buckets:
-        at, n = np.unique(np.concatenate(buckets), return_counts=True)
-        counts[at] = np.minimum(counts[at] + n, 255)
+def _measure(docs: DataFrame, digest: Callable[[np.ndarray], tuple[int, int]]) -> DataFrame:
+    """A row for each document (doc_id, n, high, low, its sketch), and rows (shingle, count) for the order of shingles."""
+    names = [x.split()[0] for x in MEASURED.split(", ")]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+        some = n >= REPORTED
+        return pa.RecordBatch.from_arrays([*[pa.nulls(int(some.sum()), pa.int64())] * (len(names) - 2), pa.array(at[some].view(np.int64)), pa.array(n[some])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            rows, sketches = [], []
+            for s in shingle_sets(b.column(1)):
+                held.append(s)
+                size += len(s)
+                rows.append((len(s), *digest(s)))
+                sketches.append(sketch(s))
+                if size >= COUNTED_AT_ONCE:
+                    yield counted(held)
+                    held, size = [], 0
+            cols = list(np.array(rows, np.int64).T) + list(np.array(sketches, np.int64).T) if rows else [np.zeros(0, np.int64)] * (3 + SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols), *[pa.nulls(len(rows), pa.int64())] * 2], names)
+        if held:
+            yield counted(held)
+
+    return docs.mapInArrow(run, MEASURED)
 
 
 def _order(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(frequent buckets, sorted; their classes): the logarithm of what a count has above the usual load of a bucket."""
-    usual = (measured.agg(F.sum("n").alias("n")).first()["n"] or 0) / (1 << ORDER_BITS)
-    sums = measured.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT + 4 * usual)
-    rows = sums.orderBy(F.desc("count"), "bucket").limit(MOST_FREQUENT).toArrow()
-    at = rows["bucket"].to_numpy().astype(np.uint32)
+    """(frequent shingles, sorted; the logarithms of their counts)."""
+    sums = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
+    rows = sums.orderBy(F.desc("count"), "shingle").limit(MOST_FREQUENT).toArrow()
+    at = rows["shingle"].to_numpy().view(np.uint64)
     k = np.argsort(at)
     return at[k], np.log2(rows["count"].to_numpy()[k]).astype(np.uint8)
 
@@ -163,68 +214,182 @@ def in_order(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np
     at, classes = frequent
     c = np.zeros(len(s), np.uint8)
     if len(at):
-        b = _bucket(s)
+        b = s >> np.uint64(64 - COUNT_BITS)
         k = np.minimum(np.searchsorted(at, b), len(at) - 1)
         c = np.where(at[k] == b, classes[k], 0)
     k = np.argsort(c, kind="stable")[: window(len(s))]  # s is sorted, so ties follow the hash
     return s[k], c[k]
 
 
-def _replicate(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(pivot, part, node, n, pos) for every pivot in a document's window; part is -1 where the pivot's region is whole."""
+# Replicas travel in blocks, one for each bucket of regions: sorted by region, each column as planes of bytes, compressed.
+REPLICA = np.dtype([("pivot", np.uint64), ("part", np.int32), ("node", np.int64), ("n", np.int32), ("pos", np.int32)])
+
+
+def to_block(rows: np.ndarray) -> bytes:
+    """Replicas sorted by pivot; nodes are numbered within the block."""
+    nodes, first, which = np.unique(rows["node"], return_index=True, return_inverse=True)
+    columns = [np.diff(rows["pivot"], prepend=np.uint64(0)), which.astype(np.uint32), (rows["part"] + 1).astype(np.uint32), rows["pos"].astype(np.uint32)]
+    planes = [c.view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in columns]
+    head = np.array([len(rows), len(nodes)], np.int64).tobytes() + nodes.tobytes() + rows["n"][first].tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+
+
+def from_block(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, k = np.frombuffer(raw, np.int64, 2).tolist()
+    nodes, sizes, at = np.frombuffer(raw, np.int64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k), 16 + 12 * k
+    rows = np.empty(n, REPLICA)
+
+    def column(kind) -> np.ndarray:
+        nonlocal at
+        width = np.dtype(kind).itemsize
+        got = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+        at += n * width
+        return got
+
+    rows["pivot"] = np.cumsum(column(np.uint64), dtype=np.uint64)
+    which = column(np.uint32)
+    rows["node"], rows["n"] = nodes[which], sizes[which]
+    rows["part"] = column(np.uint32).astype(np.int32) - 1
+    rows["pos"] = column(np.uint32)
+    return rows
+
+
+def _replicate(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], names: Names, buckets: int) -> DataFrame:
+    """(bucket, block): replicas of every document for the pivots in its window; part is -1 where a region is whole."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (hashing.mix(rows["pivot"] ^ hashing.mix(rows["part"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        k = np.lexsort((rows["pivot"], bucket))
+        rows, bucket = rows[k], bucket[k]
+        kinds, first = np.unique(bucket, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([to_block(x) for x in np.split(rows, first[1:])], pa.binary())], ["bucket", "block"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
         done: set[int] = set()
+        held, size = [], 0
         for b in batches:
-            pivots, parts, nodes, sizes, places = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 if not len(s):
                     continue
-                _, node = content_hash(s)
+                node = names(s)
                 if node in done:  # a copy within the task
                     continue
                 if len(done) < 1_000_000:
                     done.add(node)
-                p, c = in_order(s, shared.value)
+                p, c = in_order(s, order)
                 share = np.maximum(1, (1 << c.astype(np.int64)) // PART)
-                pivots.append(p)
-                parts.append(np.where(share > 1, (node & 0x7FFFFFFF) % share, -1).astype(np.int32))
-                nodes.append(np.full(len(p), node, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int64))
-                places.append(np.arange(1, len(p) + 1, dtype=np.int32))
-            if pivots:
-                cols = [np.concatenate(pivots).view(np.int64), np.concatenate(parts), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pivot", "part", "node", "n", "pos"])
-
-    return docs.mapInArrow(run, "pivot long, part int, node long, n long, pos int")
-
-
-def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+                rows = np.empty(len(p), REPLICA)
+                rows["pivot"], rows["node"], rows["n"], rows["pos"] = p >> np.uint64(64 - PIVOT_BITS), node, len(s), np.arange(1, len(p) + 1)
+                rows["part"] = np.where(share > 1, (node & 0x7FFFFFFF) % share, -1)
+                held.append(rows)
+                size += len(rows)
+                if size >= REPLICAS_AT_ONCE:
+                    yield blocks(held)
+                    held, size = [], 0
+        if held:
+            yield blocks(held)
+
+    return docs.mapInArrow(run, "bucket long, block binary")
+
+
+REGIONS = "pivot long, part int, node long, n long, pos int, leader long, nl long, drawn int"
+
+
+def _meet(rows: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (first, second) of rows in regions of fewer than LARGE documents that sizes and positions allow."""
+    first, second = [], []
+    for step in range(1, LARGE - 1):
+        k = np.flatnonzero(region[step:] == region[:-step])
+        m, n = rows["n"][k].astype(np.int64), rows["n"][k + step].astype(np.int64)
+        overlap = -(-PERCENT * (m + n) // (100 + PERCENT))
+        reach = [overlap - -(-PERCENT * x // 100) + 1 for x in (m, n)]
+        half = (np.maximum(1, np.minimum(*reach)) + 1) // 2
+        ok = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & (rows["pos"][k] <= m - overlap + half) & (rows["pos"][k + step] <= n - overlap + half)
+        first.append(k[ok])
+        second.append(k[ok] + step)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of small regions the pairs of documents (leader, node) that may link, without a pivot; of large ones, and of parts,
+    the documents, each with the region's leader, and with bit k of ``drawn`` set for the pivots of round k."""
+    rows = np.concatenate([from_block(x.as_py()) for x in table["block"]])
+    rows = rows[np.lexsort((rows["node"], rows["part"], rows["pivot"]))]
+    same = np.concatenate([[False], (rows[1:]["pivot"] == rows[:-1]["pivot"]) & (rows[1:]["part"] == rows[:-1]["part"])])
+    once = ~(same & np.concatenate([[False], rows[1:]["node"] == rows[:-1]["node"]]))  # copies of different tasks
+    rows, same = rows[once], same[once]
+    region = np.cumsum(~same) - 1
+    first = np.flatnonzero(~same)
+    members = np.bincount(region)[region]
+    large = (members >= LARGE) | (rows["part"] >= 0)
+    few = np.flatnonzero(~large & (members > 1))
+    x, y = (few[i] for i in _meet(rows[few], region[few]))
+    k = np.flatnonzero(large)
+    head = first[region[k]]
+    drawn = np.zeros(len(k), np.int32)
+    for turn in range(ROUNDS):
+        by = np.lexsort((hashing.mix(rows["node"][k].view(np.uint64) + np.uint64(turn + 1)), region[k]))
+        place = np.arange(len(k)) - np.searchsorted(region[k], region[k])[by] if len(k) else np.zeros(0, np.int64)
+        drawn[by[place < PIVOTS]] |= 1 << turn
+    none = lambda kind: pa.nulls(len(y), kind)
+    joined = lambda a, b: pa.chunked_array([a, b])
+    column = lambda c, at: pa.array(np.ascontiguousarray(rows[c][at]).astype(np.int64))
+    columns = [
+        joined(none(pa.int64()), column("pivot", k)), joined(none(pa.int32()), pa.array(np.ascontiguousarray(rows["part"][k]))),
+        joined(column("node", y), column("node", k)), joined(column("n", y), column("n", k)), joined(none(pa.int32()), pa.array(np.ascontiguousarray(rows["pos"][k]))),
+        joined(column("node", x), column("node", head)), joined(column("n", x), column("n", head)), joined(none(pa.int32()), pa.array(drawn)),
+    ]
+    return pa.table(columns, [c.split()[0] for c in REGIONS.split(", ")])
+
+
+def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, names: Names, what: str) -> DataFrame:
     """pairs (a, b, na, nb) with the size of their intersection, from the whole sets.
 
-    Only texts of documents in pairs are read again; a bit set of fixed size, tested where the texts lie, passes these
-    and a few others.
+    Only texts of documents in pairs are read again; a bit set of bounded size, tested where the texts lie, passes these
+    and a few others. A text travels to the turns of the documents a that it is measured from; within a turn, sorted,
+    the text of a comes first, so that a task holds two sets at a time.
     """
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.col("rep").alias("set_id"))
-    involved = cut(involved, f"{what}-involved")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << READ_BITS))
-    words = involved.select(bit("set_id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    some = docs.withColumn("bit", bit("doc_id")).join(F.broadcast(words), F.shiftright("bit", 6) == F.col("word")).where(F.expr("getbit(bits, cast(bit & 63 as int)) = 1")).select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turns = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / TURN).alias("turns"))
+    dealt = cut(pairs.join(turns, "a").withColumn("turn", F.pmod(F.xxhash64("b"), F.col("turns"))).drop("turns"), f"{what}-turns")
+    wants = dealt.select(F.col("b").alias("node"), F.col("a").alias("host"), "turn", F.lit(1).alias("role"), "na", "nb")
+    hosts = dealt.select(F.col("a").alias("node"), F.col("a").alias("host"), "turn", F.lit(0).alias("role"), "na", F.lit(0).cast("long").alias("nb")).distinct()
+    wants = wants.union(hosts)
+    involved = cut(wants.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("set_id")), f"{what}-involved")
+    some = passing(docs, "doc_id", involved).select("text")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             # A repeated id may come with other texts: the content's own name tells which row is meant.
-            sets = list(shingle_sets(b.column(1)))
-            names = [content_hash(s)[1] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set_node", "shingles"])
+            own = [names(s) for s in shingle_sets(b.column(0))]
+            new = [k for k, x in enumerate(own) if not (x in done or done.add(x))]
+            if len(done) > 1_000_000:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in new], pa.int64()), b.column(0).take(pa.array(new, pa.int64()))], ["node", "text"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, turn, base = None, None, None
+        for b in batches:
+            out = []
+            for s, h, t, role, node, na, nb in zip(shingle_sets(b.column(6)), *(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if role == 0:
+                    host, turn, base = h, t, s
+                    continue
+                if (h, t) != (host, turn):
+                    raise RuntimeError("the text of a pivot is missing")
+                at = np.minimum(np.searchsorted(base, s), len(base) - 1)
+                out.append((h, node, na, nb, int((base[at] == s).sum())))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "common"])
 
-    sets = some.mapInArrow(run, "doc_id long, set_node long, shingles array<long>")
-    sets = sets.join(involved, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("set_node") == F.col("node"))).select("node", "shingles").dropDuplicates(["node"])
-    sets = cut(sets, f"{what}-sets")
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
+    texts = some.mapInArrow(named, "node long, text string")
+    rows = texts.join(wants, "node").select("host", "turn", "role", "node", "na", "nb", "text")
+    rows = rows.repartition("host", "turn").sortWithinPartitions("host", "turn", "role")
+    return cut(rows.mapInArrow(compared, "a long, b long, na long, nb long, common long").distinct(), f"{what}-measured")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,96 +412,111 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def join(docs: DataFrame) -> DataFrame:
+def _relabel(spark: SparkSession, label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label, ...) after links (a, b) of nodes have joined their classes."""
+    of = lambda c, name: label.select(F.col("node").alias(c), F.col("label").alias(name))
+    classes = links.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = components(classes).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return cut(label.join(found, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new"), "join-labels")
+
+
+def _several(regions: DataFrame, label: DataFrame, what: str) -> DataFrame:
+    """Regions of several classes, with the class of every document and, as main, that of the one with the least node."""
+    classed = cut(regions.join(label.select("node", "label"), "node"), what)
+    mixed = classed.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
+    return classed.join(mixed, "pivot")
+
+
+def join(docs: DataFrame, digest: Callable[[np.ndarray], tuple[int, int]] = content_hash) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 500)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = cut(_measure(docs), "join-measured")
-    members = measured.where("bucket is null").select("doc_id", "n", "high", "node")
-    nodes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("high").alias("h0"), F.max("high").alias("h1"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("size"))
-    # 64 bits name a set; should two sets ever share a name, the upper 64 bits show it and the job stops.
-    clash = F.when(F.col("h0") != F.col("h1"), F.raise_error(F.lit("two sets of shingles share a 64-bit name"))).otherwise(F.col("rep"))
-    nodes = cut(nodes.select("node", clash.alias("rep"), "copies", "size"), "join-nodes")
-
-    rows = _replicate(docs, _order(measured))
-    region = Window.partitionBy("pivot", "part")
-    regions = rows.withColumn("leader", F.min("node").over(region)).withColumn("last", F.max("node").over(region)).withColumn("nl", F.min_by("n", "node").over(region))
-    parted = F.col("part") >= 0  # the pivot of a part stands for it in the region of its shingle, even if it is alone
-    regions = regions.where((F.col("leader") < F.col("last")) | parted).select("pivot", "part", "node", "n", "pos", "leader", "nl")
-    regions = cut(regions.distinct(), "join-regions")
-    release(spark)
-
-    star = regions.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb"))
-    split = regions.where(parted).select("pivot").distinct()
-    heads = regions.join(split, "pivot").select("pivot", F.col("leader").alias("node"), F.col("nl").alias("n")).distinct()
+    c = F.col
+    docs = docs.select(c("doc_id").cast("long").alias("doc_id"), "text")
+    measured = cut(_measure(docs, digest), "join-measured")
+    members = measured.where("shingle is null")
+    sums = [F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("size"), *[F.max(k).alias(k) for k in SKETCHES]]
+    sets = cut(members.where("n > 0").groupBy("low", "high").agg(*sums), "join-sets")
+    # Of N sets about N * N / 2^65 share a name: few enough for a list.
+    names = Names(digest, frozenset(r.low for r in sets.groupBy("low").count().where("count > 1").select("low").toLocalIterator()))
+    nodes = sets.select(names.column().alias("node"), "rep", "copies", "size", *SKETCHES)
+
+    replicas = members.agg(F.sum(c("n") - F.ceil(F.lit(PERCENT) * c("n") / 100) + 1).alias("n")).first()["n"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-replicas // BUCKET))
+    blocks = _replicate(docs, _order(measured), names, buckets)
+    regions = cut(blocks.groupBy("bucket").applyInArrow(_gather, REGIONS), "join-regions")
+
+    star = regions.where("pivot is not null and node <> leader").select(c("leader").alias("a"), c("node").alias("b"), c("nl").alias("na"), c("n").alias("nb"))
+    # The leader of a part stands for it in the region of its shingle, even if it is alone.
+    heads = regions.where("pivot is not null and part >= 0").select("pivot", c("leader").alias("node"), c("nl").alias("n")).distinct()
     top = Window.partitionBy("pivot")
-    heads = heads.withColumn("a", F.min("node").over(top)).withColumn("na", F.min_by("n", "node").over(top)).where("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-    star = star.union(heads).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    heads = heads.withColumn("a", F.min("node").over(top)).withColumn("na", F.min_by("n", "node").over(top)).where("node <> a").select("a", c("node").alias("b"), "na", c("n").alias("nb"))
     # Stars only make classes early; what they leave out waits for the exact pass below.
-    star = star.where(_sizes_allow(F.col("na"), F.col("nb")) & (F.col("shared") * 4 >= least_common(F.col("na"), F.col("nb"))))
+    counted = lambda pairs: pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    one = F.lit(1).cast("long").alias("shared")
+    few = cut(counted(regions.where("pivot is null").select(c("leader").alias("a"), c("node").alias("b"), c("nl").alias("na"), c("n").alias("nb"), one)), "join-few")
+    star = counted(star.union(heads).select("*", one).union(few))
+    star = star.where(_sizes_allow(c("na"), c("nb")) & (c("shared") * 4 >= least_common(c("na"), c("nb"))))
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    star = star.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS).drop("shared", "nth")
-    star = cut(_measured_pairs(cut(star, "join-star"), docs, nodes, "star"), "join-star-measured")
-    release(spark)
-    linked = F.lit(100) * F.col("common") >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("common"))
+    star = star.withColumn("nth", F.row_number().over(best)).where(c("nth") <= LEADERS)
+    side = lambda name: nodes.select(c("node").alias(name), *[c(k).alias(f"{name}_{k}") for k in SKETCHES])
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """pairs whose sketches allow a link, with the places where these differ."""
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("differ", _differing("a_", "b_"))
+        return both.where(_sketches_allow(c("differ"), c("na"), c("nb"))).select("a", "b", "na", "nb", "differ")
+
+    nearest = lambda pairs: pairs.groupBy("b").agg(F.min(F.struct("differ", "a", "na", "nb")).alias("x")).select("x.a", "b", "x.na", "x.nb")
+    star = _measured_pairs(cut(nearest(sketched(star)), "join-star"), docs, nodes, names, "star")
     # A node whose rows all have a null id goes by its own number until the end.
-    name = F.coalesce("rep", "node")
-    named = lambda e, la, lb: e.join(nodes.select(F.col("node").alias("a"), name.alias(la)), "a").join(nodes.select(F.col("node").alias("b"), name.alias(lb)), "b")
-    links = named(star.where(linked), "ra", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    classes = components(links).select(F.col("node").alias("name"), "label")
-
-    # Pairs of different classes that some region holds; a node without a link is a class of its own.
-    label = cut(nodes.withColumn("name", name).join(classes, "name", "left").select("node", "copies", "size", "rep", F.coalesce("label", "name").alias("label")), "join-labels")
-    apart = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("away"))
-    classed = cut(regions.select("pivot", "node", "n", "pos", "leader").join(label.select("node", "label"), "node"), "join-classes")
-    release(spark, regions)
-    mixed = classed.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
-    seen = classed.join(mixed, "pivot").join(apart, ["leader", "node"], "left")
-    seen = seen.select("pivot", "leader", "node", "n", "pos", "label", "main", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("away")).alias("away"))
-    cut_seen = seen = cut(seen, "join-seen")
-    release(spark, classed)
-    # What meets a large class is measured from the class's own pivot: within 1/4 it belongs to the class, and the
-    # window of its distance tells which members it can link with at all.
-    large = label.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(name == F.col("label"), F.col("node"))).alias("centre"), F.min(F.when(name == F.col("label"), F.col("size"))).alias("nc")).where(F.col("members") >= LARGE)
-    towards = seen.select("node", "n", "main").distinct().join(large, "main").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb"))
-    towards = cut(_measured_pairs(cut(towards, "join-towards"), docs, nodes, "towards"), "join-towards-measured")
-    release(spark)
-    middle = towards.join(large.select(F.col("centre").alias("b"), "main"), "b").select(F.col("a").alias("node"), "main", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("mid"), linked.alias("in_main"))
-    seen = seen.join(middle, ["node", "main"], "left")
-    seen = seen.withColumn("stray", (F.col("label") != F.col("main")) & ~F.coalesce("in_main", F.lit(False)))
-    seen = cut(seen.select("pivot", "leader", "node", "n", "pos", F.when(F.col("stray"), F.col("label")).otherwise(F.col("main")).alias("label"), "away", "mid", "stray"), "join-strays")
-    release(spark, cut_seen)
-    x = seen.where("stray").select("pivot", *[F.col(c).alias(f"x_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid")])
-    y = seen.select("pivot", *[F.col(c).alias(f"y_{c}") for c in ("leader", "node", "n", "pos", "label", "away", "mid", "stray")])
-    c = F.col
-    other = c("x_label") != c("y_label")
-    once = ~c("y_stray") | (c("x_node") < c("y_node"))
-    limit = 1 - PERCENT / 100 + 1e-9
-    near = F.coalesce(F.abs(c("x_mid") - c("y_mid")) <= limit, F.lit(True)) & F.coalesce((c("x_leader") != c("y_leader")) | (F.abs(c("x_away") - c("y_away")) <= limit), F.lit(True))
-    # Of least_common pivots half are asked for, within windows that are shorter by the other half.
+    label = nodes.select("node", "copies", "size", "rep", F.coalesce("rep", "node").alias("label"))
+    known, links = star, star.where(_linked(c("common"), c("na"), c("nb"))).select("a", "b")
+    label = _relabel(spark, label, links)
+
+    large = regions.where("pivot is not null").select("pivot", "part", "node", "n", "pos", "drawn").join(nodes.select("node", *SKETCHES), "node")
+    for k in range(ROUNDS):
+        rows = cut(_several(large, label, "join-large"), "join-round")
+        drawn = rows.where(c("drawn").bitwiseAND(1 << k) > 0).select("pivot", "part", c("node").alias("a"), c("n").alias("na"), c("label").alias("a_label"), *[c(x).alias(f"a_{x}") for x in SKETCHES])
+        both = rows.select("pivot", "part", c("node").alias("b"), c("n").alias("nb"), "label", *[c(x).alias(f"b_{x}") for x in SKETCHES]).join(drawn, ["pivot", "part"])
+        seems = _sketches_allow(_differing("a_", "b_"), c("na"), c("nb")) & (_differing("a_", "b_") <= TELLING)
+        both = both.where((c("label") != c("a_label")) & _sizes_allow(c("na"), c("nb")) & seems)
+        pairs = cut(nearest(both.withColumn("differ", _differing("a_", "b_"))).join(known.select("a", "b"), ["a", "b"], "left_anti"), "join-voronoi")
+        if pairs.isEmpty():
+            break
+        found = _measured_pairs(pairs, docs, nodes, names, "voronoi")
+        links = found.where(_linked(c("common"), c("na"), c("nb"))).select("a", "b")
+        known, label = known.union(found), _relabel(spark, label, links)
+
+    # Pairs of different classes that some region holds.
+    away = 1 - c("common") / (c("na") + c("nb") - c("common"))
+    middle = star.select(c("b").alias("node"), c("a").alias("centre"), away.alias("away"))
+    apart = ["node", "n", "pos", "label"]
+    stray = (c("label") != c("main")).alias("stray")
     half = F.ceil(least_common(c("x_n"), c("y_n")) / 2)
+    # Of least_common pivots half are asked for, within windows that are shorter by the other half.
     within = lambda n, pos: c(pos) <= c(n) - _overlap(c("x_n"), c("y_n")) + half
-    pairs = x.join(y, "pivot").where(other & once & _sizes_allow(c("x_n"), c("y_n")) & within("x_n", "x_pos") & within("y_n", "y_pos") & near)
+    allowed = (c("x_label") != c("y_label")) & (~c("y_stray") | (c("x_node") < c("y_node"))) & _sizes_allow(c("x_n"), c("y_n")) & within("x_n", "x_pos") & within("y_n", "y_pos")
+
+    limit = 1 - PERCENT / 100 + 1e-9
+    near = F.coalesce((c("x_centre") != c("y_centre")) | (F.abs(c("x_away") - c("y_away")) <= limit), F.lit(True)) & _sketches_allow(_differing("x_", "y_"), c("x_n"), c("y_n"))
+    many = cut(_several(large, label, "join-large").join(middle, "node", "left").select("pivot", *apart, stray, "centre", "away", *SKETCHES), "join-many")
+    x = many.where("stray").select("pivot", *[c(k).alias(f"x_{k}") for k in [*apart, "centre", "away", *SKETCHES]])
+    y = many.select("pivot", *[c(k).alias(f"y_{k}") for k in [*apart, "stray", "centre", "away", *SKETCHES]])
     low = c("x_node") < c("y_node")
     pick = lambda f, g, name: F.when(low, c(f)).otherwise(c(g)).alias(name)
-    pairs = pairs.select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= F.ceil(least_common(c("na"), c("nb")) / 2)).drop("shared")
-    pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = cut(pairs, "join-rest")
-    release(spark, seen)
-    rest = cut(_measured_pairs(pairs, docs, nodes, "rest"), "join-rest-measured").where(linked)
-    release(spark)
-
-    # The classes so far are nodes of what the exact pass adds.
-    whole = label.select("node", "label")
-    more = rest.select("a", "b").union(towards.where(linked).select("a", "b")).join(whole.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(whole.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    found = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("final"))
-    known = label.join(found, "label", "left").withColumn("component", F.coalesce("final", "label"))
-    unnamed = known.where("rep is null").select("component").distinct()
-    least = known.join(unnamed, "component").groupBy("component").agg(F.min("rep").alias("least"), F.lit(True).alias("renamed"))
-    known = known.join(least, "component", "left").withColumn("component", F.when(c("renamed"), c("least")).otherwise(c("component")))
-    known = known.where("copies > 1 or rep is null or component <> rep").select("node", "component")
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    every = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return every.join(known, ["node", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(c("n") == 0, c("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    met = x.join(y, "pivot").where(allowed & near).select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"), one)
+    pairs = counted(met.union(few)).where(c("shared") >= F.ceil(least_common(c("na"), c("nb")) / 2))
+    of = lambda name: label.select(c("node").alias(name), c("label").alias(f"{name}_label"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label")
+    asked = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(sketched(pairs).drop("differ").join(asked, ["a", "b"], "left_anti"), "join-rest")
+    rest = _measured_pairs(pairs, docs, nodes, names, "rest")
+    label = _relabel(spark, label, rest.where(_linked(c("common"), c("na"), c("nb"))).select("a", "b"))
+
+    unnamed = label.where("rep is null").select("label").distinct()
+    least = label.join(unnamed, "label").groupBy("label").agg(F.min("rep").alias("least"), F.lit(True).alias("renamed"))
+    named = label.join(least, "label", "left").withColumn("component", F.when(c("renamed"), c("least")).otherwise(c("label")))
+    named = named.where("copies > 1 or rep is null or component <> rep").select("node", "component")
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = members.select("doc_id", "n", names.column().alias("node")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return every.join(named, ["node", "salt"], "left").select("doc_id", c("n").alias("n_shingles"), F.when(c("n") == 0, c("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -70,6 +70,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among ``ids`` (one column), and a few others: for joins that would else move all rows.
+
+    A bit set of at most 2^24 bits, tested where the rows lie, tells them; it is 8 bits an id as long as that fits.
+    """
+    of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    bits = 1 << min(24, max(16, (8 * ids.count()).bit_length()))
+    words = ids.select(of(ids.columns[0]).alias("bit")).groupBy(F.shiftright("bit", 6).alias("bit_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bit_set"))
+    marked = rows.select(F.struct(*rows.columns).alias("row"), of(column).alias("bit"))
+    return marked.join(F.broadcast(words), F.shiftright("bit", 6) == F.col("bit_word")).where(F.expr("getbit(bit_set, cast(bit & 63 as int)) = 1")).select("row.*")
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Clear working tables that were read for the last time, and let Spark drop the shuffle files of what is written.
 

@@ -51,7 +51,8 @@ def test_groups_of_near_copies_and_shared_passages(spark, seed, monkeypatch):
     monkeypatch.setattr(J, "PART", 8)
     monkeypatch.setattr(J, "FREQUENT", 4)
     monkeypatch.setattr(J, "LEADERS", 1)
-    monkeypatch.setattr(J, "LARGE", 2)
+    monkeypatch.setattr(J, "LARGE", 3)
+    monkeypatch.setattr(J, "PIVOTS", 2)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     passage = " ".join(word() for _ in range(40))
@@ -110,3 +111,39 @@ def test_near_copies_under_null_ids(spark):
         rows += [(10 * k + 7, " ".join([*first[:94], *[word() for _ in range(6)]])), (None, " ".join(w)), (10 * k + 9, " ".join([*[word() for _ in range(7)], *last[7:]]))]
     rows += [(None, " ".join(map(str, range(50))))] * 3 + [(None, word())]
     assert run(spark, rows) == brute(rows)
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n in (1, 30, 400, 3000):
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for k in (0, 1, n // 10, n // 2):
+            y = np.unique(np.concatenate([x[k:], r.integers(0, 2**63, k // 2).astype(np.uint64)]))
+            places = np.bitwise_count((J.sketch(x) ^ J.sketch(y)).view(np.uint64)).sum()
+            assert places <= len(np.setxor1d(x, y)) and (k or places == 0)
+
+
+def test_sets_that_share_half_of_their_names(spark):
+    """Every set of an odd size has one and the same lower half of its digest."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(80)]
+    rows = [(k, " ".join([*base[: 80 - k], *(word() for _ in range(k))])) for k in range(12)] + [(k, " ".join(base[:k])) for k in range(40, 70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = J.content_hash
+    for digest in (whole, lambda s: (whole(s)[0], 7 if len(s) % 2 else whole(s)[1])):
+        assert sorted(map(tuple, J.join(df, digest).collect()), key=repr) == brute(rows)
+
+
+def test_replicas_survive_their_blocks():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = np.zeros(500, J.REPLICA)
+    rows["pivot"] = np.sort(r.integers(0, 2**56, 500))
+    nodes = r.integers(-(2**62), 2**62, 20)
+    which = r.integers(0, 20, 500)
+    rows["node"], rows["n"], rows["pos"], rows["part"] = nodes[which], which + 5, r.integers(1, 9999, 500), r.integers(-1, 70_000, 500)
+    assert (J.from_block(J.to_block(rows)) == rows).all()
