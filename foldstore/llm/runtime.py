@@ -80,14 +80,3 @@ def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     words = ids.select(of(ids.columns[0]).alias("bit")).groupBy(F.shiftright("bit", 6).alias("bit_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bit_set"))
     marked = rows.select(F.struct(*rows.columns).alias("row"), of(column).alias("bit"))
     return marked.join(F.broadcast(words), F.shiftright("bit", 6) == F.col("bit_word")).where(F.expr("getbit(bit_set, cast(bit & 63 as int)) = 1")).select("row.*")
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Clear working tables that were read for the last time, and let Spark drop the shuffle files of what is written.
-
-    Spark drops a shuffle's files when the driver collects the plan that made them; a driver with a large heap may not
-    do so for long, while the disks of the executors fill.
-    """
-    for t in tables:
-        remove(spark, *{f.rpartition("/")[0] for f in t.inputFiles()[:1]})
-    spark._jvm.System.gc()
