@@ -4,18 +4,22 @@
    cut, into full pieces and a rest. What goes on is one narrow row for each piece.
 2. Full pieces are sequences by themselves. The others are dealt at random into blocks of some thousand pieces.
 3. A block is packed by best fit, longest piece first; then pieces are moved and exchanged (one for one, two for one, one
-   for two) between its underfull sequences as long as the sum of squared fills rises, which empties the least filled.
+   for two) between any two of its underfull sequences, found by an index of lengths, as long as the sum of squared fills
+   rises, which empties the least filled.
 4. Sequences that stay underfull give their pieces back; these are dealt into blocks of all leftovers and packed again,
    so that what is lost doesn't grow with the number of blocks.
 
 Tokenising works by words: pieces of the tokenizer never cross white space, so the ids of a blank-parted word are looked
 up once. That holds for texts of the characters in ``PLAIN``; any other text goes through the tokenizer itself.
 
-Defined cases: a null or empty text is the single id 0; repeated rows are packed each; an empty table gives no rows.
+Defined cases: a null or empty text is the single id 0; repeated rows are packed each, in whichever blocks their row
+numbers fall to; of pieces of equal length the one with the smaller doc_id, null first, and piece is packed first; very
+long texts are cut one at a time; an empty table gives no rows; other columns of ``docs`` aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -25,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,8 @@ from foldstore.llm.runtime import cut, scratch, small_batches
 
 CAPACITY = 2048
 BLOCK = 8192
-#: Underfull sequences among which the local search works, and the fill below which a sequence is packed again.
-NEIGHBOURS, AGAIN = 64, 0.97
+#: The fill below which a sequence is packed again.
+AGAIN = 0.97
 #: Words in each generation of the table of known words.
 CACHE = 200_000
 #: Letters, digits and signs of Latin scripts and common punctuation: the tokenizer's normalisation only lower-cases these, and its classes are those of Python.
@@ -101,25 +106,27 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, and a number of its own."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = tokenizer(path)
+        row = TaskContext.get().partitionId() << 36
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = ids_of(text.as_py()) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), row))
+                    row += 1
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -146,44 +153,113 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """What to give from the emptier bin a for what of the fuller bin b, so that b gains most and stays within its room: a move, or an exchange of one for one, two for one or one for two."""
-    best, found = 0, None
-    give = [([i], size[i]) for i in a] + [([i, j], size[i] + size[j]) for x, i in enumerate(a) for j in a[x + 1 :]]
-    take = [([], 0)] + [([i], size[i]) for i in b] + [([i, j], size[i] + size[j]) for x, i in enumerate(b) for j in b[x + 1 :]]
-    for g, n in give:
-        for t, m in take:
-            if best < n - m <= room and not (len(g) == 2 and len(t) == 2):
-                best, found = n - m, (g, t)
-    return found
-
-
-def local_search(bins: list[list[int]], size: list[int], capacity: int, neighbours: int = NEIGHBOURS) -> list[list[int]]:
-    """Raise the sum of squared fills by exchanges between the least filled bins until none does; empty bins go."""
-    fill = [sum(size[i] for i in b) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))[:neighbours]
-    moved = True
-    while moved:
-        moved = False
-        under = sorted((k for k in under if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
-        for x, a in enumerate(under):
-            for b in reversed(under[x + 1 :]):
-                # Each exchange shifts tokens from a bin to one at least as full: the sum of squares rises, so this ends.
-                while bins[a] and fill[b] >= fill[a] and fill[b] < capacity and len(bins[a]) <= 40 and len(bins[b]) <= 40:
-                    step = _exchange(bins[a], bins[b], size, capacity - fill[b])
-                    if not step:
-                        break
-                    g, t = step
-                    bins[a] = [i for i in bins[a] if i not in g] + t
-                    bins[b] = [i for i in bins[b] if i not in t] + g
-                    shift = sum(size[i] for i in g) - sum(size[i] for i in t)
-                    fill[a], fill[b], moved = fill[a] - shift, fill[b] + shift, True
-    return [b for b in bins if b]
+class Underfull:
+    """The underfull bins of a block, with the lengths that each holds, and where to find a length or a sum of two.
+
+    Pieces of one length are alike, so a bin is known by its distinct lengths: at most 63 of them fit 2,048 tokens,
+    however many pieces it holds, which bounds the sums of two.
+    """
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.held: list[dict[int, list[int]]] = [{} for _ in bins]
+        self.where: tuple[dict[int, dict[int, None]], dict[int, dict[int, None]]] = ({}, {})
+        #: Bit n: some bin holds the length n; some bin holds two lengths of this sum.
+        self.some = [0, 0]
+        for k, b in enumerate(bins):
+            for i in b:
+                self.held[k].setdefault(size[i], []).append(i)
+            self.enter(k)
+
+    def pairs(self, k: int) -> dict[int, tuple[int, int]]:
+        """Sums of two lengths of a bin."""
+        lengths = sorted(self.held[k])
+        return {m + n: (m, n) for x, m in enumerate(lengths) for n in lengths[x:] if m != n or len(self.held[k][m]) > 1}
+
+    def enter(self, k: int) -> None:
+        if 0 < self.fill[k] < self.capacity:
+            for kind, found in enumerate((self.held[k], self.pairs(k))):
+                for n in found:
+                    if n not in self.where[kind]:
+                        self.where[kind][n] = {}
+                        self.some[kind] |= 1 << n
+                    self.where[kind][n][k] = None
+
+    def leave(self, k: int) -> None:
+        if 0 < self.fill[k] < self.capacity:
+            for kind, found in enumerate((self.held[k], self.pairs(k))):
+                for n in found:
+                    del self.where[kind][n][k]
+                    if not self.where[kind][n]:
+                        del self.where[kind][n]
+                        self.some[kind] &= ~(1 << n)
+
+    def giver(self, kind: int, k: int, back: int, least: int) -> tuple[int, int] | None:
+        """(gain, bin) of the greatest length or sum that another bin can give bin k for ``back`` tokens, if it gains over ``least``."""
+        found = self.some[kind] & ((1 << (back + self.capacity - self.fill[k] + 1)) - 1)
+        while (n := found.bit_length() - 1) > back + least:
+            for a in self.where[kind][n]:
+                # A shift of so many tokens raises the sum of squared fills if it ends beyond what a has now.
+                if a != k and self.fill[a] < self.fill[k] + n - back:
+                    return n - back, a
+            found &= ~(1 << n)
+        return None
+
+    def best(self, k: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """(gain, bin a, lengths that a gives, lengths that k gives for them): a move of one or two, or an exchange of
+        one for one, two for one or one for two, that fills bin k most."""
+        best = None
+        for back, taken in [(0, ()), *((m, (m,)) for m in self.held[k]), *self.pairs(k).items()]:
+            for kind in (0, 1) if len(taken) < 2 else (0,):
+                if found := self.giver(kind, k, back, best[0] if best else 0):
+                    gain, a = found
+                    best = gain, a, (back + gain,) if kind == 0 else self.pairs(a)[back + gain], taken
+                    if gain == self.capacity - self.fill[k]:
+                        return best
+        return best
+
+    def shift(self, a: int, k: int, give: tuple[int, ...], back: tuple[int, ...]) -> None:
+        self.leave(a)
+        self.leave(k)
+        for source, target, lengths in ((a, k, give), (k, a, back)):
+            moved = [self.held[source][n].pop() for n in lengths]
+            for n in lengths:
+                if n in self.held[source] and not self.held[source][n]:
+                    del self.held[source][n]
+            for n, i in zip(lengths, moved, strict=True):
+                self.held[target].setdefault(n, []).append(i)
+                self.fill[source] -= n
+                self.fill[target] += n
+        self.enter(a)
+        self.enter(k)
+
+
+def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
+    """Raise the sum of squared fills by moves and exchanges between all underfull bins until none does; empty bins go.
+
+    The fullest bins are filled first, from whichever bin has the fitting piece. Each step raises the sum of squares, an
+    integer with a bound, so this ends.
+    """
+    u = Underfull(bins, size, capacity)
+    waiting = [(-u.fill[k], k) for k in range(len(bins)) if 0 < u.fill[k] < capacity]
+    heapq.heapify(waiting)
+    while waiting:
+        at, k = heapq.heappop(waiting)
+        if u.fill[k] != -at or not 0 < u.fill[k] < capacity:
+            continue
+        if step := u.best(k):
+            gain, a, give, back = step
+            u.shift(a, k, give, back)
+            for x in (a, k):
+                if 0 < u.fill[x] < capacity:
+                    heapq.heappush(waiting, (-u.fill[x], x))
+    return [[i for own in held.values() for i in own] for held in u.held if held]
 
 
 def pack_block(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Adds bin, offset and fill to the pieces of one block."""
-    rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], na_position="first", kind="stable").reset_index(drop=True)
     size = rows["length"].astype(int).tolist()
     bins = local_search(best_fit(size, capacity), size, capacity)
     where, offset, fill = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
@@ -197,7 +273,7 @@ def pack_block(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def _packed(rows: DataFrame, blocks: int, capacity: int, seed: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)), F.lit(blocks)).cast("long")
+    block = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(blocks)).cast("long")
     return rows.withColumn("block", block).groupBy("block").applyInPandas(lambda df: pack_block(df, capacity), PIECES + ", block long, bin long, offset long, fill long")
 
 
@@ -213,5 +289,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, block: int = BLOC
     second = _packed(left, max(1, -(-left.count() // block)), capacity, 2)
     number = lambda kind: (F.lit(kind << 60) + F.col("block") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = cutting.where(F.col("length") >= capacity).select(*names, (F.lit(2 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = cutting.where(F.col("length") >= capacity).select(*names, (F.lit(2 << 60) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.union(first.where(done).select(*names, number(0), "offset")).union(second.select(*names, number(1), "offset"))

@@ -55,6 +55,46 @@ def test_local_search_empties_bins():
     assert square(got) > square(start) and len(got) < len(start)
 
 
+def test_local_search_mends_best_fit_in_a_full_block():
+    r = random.Random(1)
+    size = [r.randint(300, 900) for _ in range(P.BLOCK)]
+    first = P.best_fit(size, P.CAPACITY)
+    got = P.local_search([list(b) for b in first], size, P.CAPACITY)
+    assert sorted(sum(got, [])) == list(range(P.BLOCK)) and all(sum(size[i] for i in b) <= P.CAPACITY for b in got)
+    least = -(-sum(size) // P.CAPACITY)
+    assert len(first) > least + 60 and len(got) < len(first) - 40
+
+
+def test_bins_of_many_pieces_take_part():
+    # 100 pieces of 3 leave a room of 20, which a piece of 50 for ten of them, step by step, or a 20 fills.
+    size = [3] * 100 + [20, 150] + [1] * 60
+    start = [list(range(100)), [100, 101], list(range(102, 162))]
+    got = P.local_search([list(b) for b in start], size, 320)
+    assert sorted(sum(got, [])) == list(range(len(size))) and 320 in [sum(size[i] for i in b) for b in got] and len(got) == 2
+
+
+def test_best_steps_against_all_of_them():
+    """The step that the index finds gains as much as the best of all moves and exchanges that raise the sum of squares."""
+    r = random.Random(4)
+    for _ in range(60):
+        size = [r.randint(1, 30) for _ in range(24)]
+        bins = [[], [], [], [], [], []]
+        for i in r.sample(range(24), 24):
+            k = r.choice([k for k in range(6) if sum(size[x] for x in bins[k]) + size[i] <= 100])
+            bins[k].append(i)
+        u = P.Underfull(bins, size, 100)
+        for k in range(6):
+            fill = u.fill
+            if not 0 < fill[k] < 100:
+                continue
+            sums = lambda b: [(0, 0)] + [(size[i], 1) for i in b] + [(size[i] + size[j], 2) for x, i in enumerate(b) for j in b[x + 1 :]]
+            best = max((n - m for a in range(6) if a != k and 0 < fill[a] < 100 for n, x in sums(bins[a]) for m, y in sums(bins[k]) if x and x + y < 4 and 0 < n - m <= 100 - fill[k] and n - m > fill[a] - fill[k]), default=0)
+            got = u.best(k)
+            assert (got[0] if got else 0) == best
+            if got:
+                assert sum(got[2]) - sum(got[3]) == best
+
+
 def test_pieces_and_places(spark, corpus):
     whole = Tokenizer.from_file(PATH)
     want = sorted((r.doc_id, len(ids := [*whole.encode(r.text or "", add_special_tokens=False).ids, 0]), zlib.crc32(np.asarray(ids, "<u4").tobytes())) for r in corpus.where("doc_id is not null").select("doc_id", "text").collect())
@@ -78,3 +118,11 @@ def test_pieces_and_places(spark, corpus):
     total = sum(r.length for r in rows)
     assert sum(1 for r in rows if r.doc_id == 7) == 2 and len(seqs) <= -(-total // 2048) + 2
     assert P.pack(corpus.limit(0).select("doc_id", "text"), PATH).count() == 0
+
+
+def test_repeated_rows_go_to_several_blocks(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h")] * 500, "doc_id long, text string").repartition(4)
+    rows = P.pack(df, PATH, block=64).collect()
+    assert len(rows) == 500 and len({r.sequence_id >> 32 for r in rows}) > 3
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(places) == 500
