@@ -59,7 +59,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, prefixes: tup
     """(hashes of the words, one array for each prefix length; index of each text's first word, and the total).
 
     fold: for each byte the byte that is hashed, 0 for bytes that part words. A word never crosses texts. prefixes: so
-    many leading bytes of each word are hashed, None for all.
+    many leading bytes of each word are hashed, None for all; of at most 7, packed in a number instead, first byte lowest.
     """
     n = len(data)
     none = [np.zeros(0, np.uint64) for _ in prefixes], np.zeros(len(offsets), np.int64)
@@ -81,6 +81,10 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, prefixes: tup
     value = (folded[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[place]
     found = []
     for k in prefixes:
+        if k is not None and k <= 7:
+            shift = 8 * np.minimum(place, k).astype(np.uint64)
+            found.append(np.add.reduceat(np.where(place < k, folded[at].astype(np.uint64) << shift, np.uint64(0)), first))
+            continue
         some, size = (value, length) if k is None else (np.where(place < k, value, np.uint64(0)), np.minimum(length, k))
         found.append(mix(np.add.reduceat(some, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return found, np.searchsorted(starts, offsets)
