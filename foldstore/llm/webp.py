@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+import zlib
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
@@ -632,35 +633,50 @@ def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def matches(pixels: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
-    """(position, length, distance) of repeats, greedily from left to right."""
-    p = pixels.tolist()
-    seen: dict[tuple, int] = {}
-    out, i = [], 0
-    while i < len(p):
-        key = tuple(p[i : i + least])
-        j = seen.get(key, -1) if len(key) == least else -1
-        n = 0
-        if j >= 0:
-            while i + n < len(p) and n < most and p[j + n] == p[i + n]:
-                n += 1
-        if n >= least:
-            out.append((i, n, i - j))
-        step = n if n >= least else 1
-        for k in range(i, min(i + step, len(p) - least + 1)):
-            seen[tuple(p[k : k + least])] = k
-        i += step
-    return out
+    """(position, length, distance) of repeats, greedily from left to right, each of the last place with the same start."""
+    n = len(pixels) - least + 1
+    if n < 2:
+        return []
+    key = np.zeros(n, np.uint64)
+    for k in range(least):
+        key = (key ^ pixels[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    last = np.full(n, -1, np.int64)
+    last[order[1:][same]] = order[:-1][same]
+    starts = np.flatnonzero(last >= 0)
+    out, at = [], 0
+    while True:
+        k = int(np.searchsorted(starts, at))
+        if k == len(starts):
+            return out
+        at = int(starts[k])
+        j, size, step = int(last[at]), 0, 64
+        while size < most:
+            end = min(most, size + step, len(pixels) - at)
+            differ = np.flatnonzero(pixels[j + size : j + end] != pixels[at + size : at + end])
+            if len(differ):
+                size += int(differ[0])
+                break
+            if size == end:
+                break
+            size, step = end, 1024
+        if size >= least:  # else two starts share a key
+            out.append((at, size, at - j))
+        at += max(size, 1)
 
 
 @dataclass(frozen=True)
 class Options:
-    """What the encoder uses. predictor: a mode from 1 to 13, or a grid of them by block; cross: (green to red, green to blue, red to blue); groups: meta prefix blocks of so many bits."""
+    """What the encoder uses. predictor: a mode from 1 to 13, or a grid of them by block; cross: (green to red, green to blue, red to blue); least: pixels of a reference; groups: meta prefix blocks of so many bits."""
 
     palette: bool = False
     predictor: int | None = None
     cross: tuple[int, int, int] | None = None
     subtract_green: bool = False
     references: bool = False
+    least: int = 4
     cache_bits: int = 0
     group_bits: int = 0
     block_bits: int = 3
@@ -717,7 +733,7 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, options: Options) -> N
     kind = np.zeros(len(flat), np.int8)  # 0 literal, 1 reference, 2 cached, -1 within a reference
     length, distance = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
     if main and options.references:
-        for at, n, d in matches(flat):
+        for at, n, d in matches(flat, options.least):
             kind[at : at + n] = -1
             kind[at], length[at], distance[at] = 1, n, d
     slot = np.zeros(len(flat), np.int64)
@@ -823,16 +839,45 @@ def _finish(w: Writer, pixels: np.ndarray, options: Options) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+#: References are tried where a general compressor gets below this share of what single samples take.
+REPETITIVE = 0.6
+#: A repeat takes about as many bits as so many samples; sizes of the colour cache that are tried with references.
+REPEAT, CACHES = 6, (0, 4)
+
+
+def _bits(counts: np.ndarray) -> float:
+    """Bits of symbols by their entropy."""
+    some = counts[counts > 0]
+    return float((some * (np.log2(some.sum()) - np.log2(some))).sum())
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """A file of 8-bit samples (height, width): palette of the values that occur, indexes in prefix codes."""
+    """A file of 8-bit samples (height, width), the smallest of several.
+
+    Always tried are a palette of the values that occur with indexes in prefix codes; in place of the palette the
+    predictor of the sample to the left, if the differences say less than the samples; and with the palette references,
+    without and with a colour cache, if the samples repeat themselves.
+    """
     height, width = samples.shape
-    w = Writer()
-    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
-        w.put(v, n)
-    values = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    flat = samples.ravel()
+    counts = np.bincount(flat, minlength=256)
+    alone = _bits(counts)
+    values = np.flatnonzero(counts)
     place = np.zeros(256, np.int64)
     place[values] = np.arange(len(values))
-    return _finish(w, _put_palette(w, values.astype(np.uint32) << 8 | np.uint32(0xFF000000), place[samples]), Options())
+
+    def coded(options: Options) -> bytes:
+        w = Writer()
+        for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+            w.put(v, n)
+        return _finish(w, _put_palette(w, values.astype(np.uint32) << 8 | np.uint32(0xFF000000), place[samples]), options)
+
+    found = [coded(Options())]
+    if len(values) > 1 and 8 * len(zlib.compress(flat, 1)) < REPETITIVE * alone:
+        found += [coded(Options(references=True, least=REPEAT, cache_bits=n)) for n in CACHES]
+    if _bits(np.bincount(np.diff(flat), minlength=256)) < alone:
+        found.append(encode(flat.reshape(height, width).astype(np.uint32) << 8 | np.uint32(0xFF000000), Options(predictor=1, block_bits=9)))
+    return min(found, key=len)
 
 
 def decode_samples(data: bytes) -> np.ndarray:

@@ -63,6 +63,204 @@ def test_short_distances_are_those_of_the_format():
     assert len(near) == 120 and near[:8] == ((0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)) and near[-1] == (8, 7)
 
 
+class Plain:
+    """A second decoder, straight from the format's description: bit by bit and pixel by pixel."""
+
+    def __init__(self, data):
+        body = data[20 : 20 + int.from_bytes(data[16:20], "little")]
+        self.bits = "".join(f"{b:08b}"[::-1] for b in body)
+        self.at = 8
+        self.width, self.height = self.take(14) + 1, self.take(14) + 1
+        assert self.take(1) in (0, 1) and self.take(3) == 0
+        undo, wide = [], self.width
+        while self.take(1):
+            kind = self.take(2)
+            if kind in (0, 1):
+                n = self.take(3) + 2
+                undo.append((kind, wide, n, self.image(-(-wide >> n), -(-self.height >> n))))
+            elif kind == 2:
+                undo.append((kind, wide, 0, None))
+            else:
+                k = self.take(8) + 1
+                table, last = [], (0, 0, 0, 0)
+                for c in self.image(k, 1):
+                    last = tuple((x + y) % 256 for x, y in zip(last, c))
+                    table.append(last)
+                undo.append((kind, wide, k, table))
+                wide = -(-wide // (8 if k <= 2 else 4 if k <= 4 else 2 if k <= 16 else 1))
+        pixels = self.image(wide, self.height, True)
+        for kind, wide, n, extra in reversed(undo):
+            pixels = [self.predict, self.colours, self.green, self.palette][kind](pixels, wide, n, extra)
+        self.pixels = pixels
+
+    def take(self, n):
+        v = int(self.bits[self.at : self.at + n][::-1] or "0", 2)
+        self.at += n
+        return v
+
+    def code(self, size):
+        if self.take(1):
+            two = self.take(1)
+            s = [self.take(8 if self.take(1) else 1)] + ([self.take(8)] if two else [])
+            return {"": s[0]} if len(set(s)) == 1 else {"0": min(s), "1": max(s)}
+        order = [17, 18, *range(6), 16, *range(6, 16)]
+        meta = [0] * 19
+        for k in range(self.take(4) + 4):
+            meta[order[k]] = self.take(3)
+        table, left = self.canonical(meta), size
+        if self.take(1):
+            left = self.take(2 + 2 * self.take(3)) + 2
+        out, last = [], 8
+        while len(out) < size and left:
+            left -= 1
+            s = self.symbol(table)
+            if s < 16:
+                out.append(s)
+                last = s or last
+            else:
+                out += [last] * (3 + self.take(2)) if s == 16 else [0] * (3 + self.take(3)) if s == 17 else [0] * (11 + self.take(7))
+        return self.canonical(out)
+
+    @staticmethod
+    def canonical(lengths):
+        some = sorted((n, s) for s, n in enumerate(lengths) if n)
+        if len(some) == 1:
+            return {"": some[0][1]}
+        out, word, last = {}, 0, 0
+        for n, s in some:
+            word <<= n - last
+            out[f"{word:0{n}b}"] = s
+            word, last = word + 1, n
+        return out
+
+    def symbol(self, table):
+        word = ""
+        while word not in table:
+            word += self.bits[self.at]
+            self.at += 1
+        return table[word]
+
+    def number(self, prefix):
+        if prefix < 4:
+            return prefix + 1
+        n = (prefix - 2) // 2
+        return (2 + prefix % 2) * 2**n + self.take(n) + 1
+
+    def image(self, wide, high, main=False):
+        """Pixels as (alpha, red, green, blue)."""
+        bits = self.take(4) if self.take(1) else 0
+        blocks = None
+        if main and self.take(1):
+            n = self.take(3) + 2
+            each = -(-wide >> n)
+            ids = [p[1] * 256 + p[2] for p in self.image(each, -(-high >> n))]
+            blocks = lambda k: ids[(k // wide >> n) * each + (k % wide >> n)]
+        groups = [[self.code(k) for k in (280 + (2**bits if bits else 0), 256, 256, 256, 40)] for _ in range(max(ids) + 1 if blocks else 1)]
+        out, cached = [], {}
+        put = lambda p: (out.append(p), bits and cached.update({(int.from_bytes(bytes(p), "big") * 0x1E35A7BD % 2**32) >> (32 - bits): p}))
+        while len(out) < wide * high:
+            g = groups[blocks(len(out)) if blocks else 0]
+            s = self.symbol(g[0])
+            if s < 256:
+                red, blue, alpha = (self.symbol(g[k]) for k in (1, 2, 3))
+                put((alpha, red, s, blue))
+            elif s < 280:
+                length, far = self.number(s - 256), self.number(self.symbol(g[4]))
+                if far > 120:
+                    far -= 120
+                else:
+                    x, y = webp.near_distances()[far - 1]
+                    far = max(1, x + y * wide)
+                for _ in range(length):
+                    put(out[-far])
+            else:
+                put(cached.get(s - 280, (0, 0, 0, 0)))
+        return out
+
+    def green(self, p, *_):
+        return [(a, (r + g) % 256, g, (b + g) % 256) for a, r, g, b in p]
+
+    def colours(self, p, wide, n, extra):
+        byte = lambda v: (v & 255) - 256 * ((v & 255) > 127)
+        out = []
+        for k, (a, r, g, b) in enumerate(p):
+            _, both, to_blue, to_red = extra[(k // wide >> n) * -(-wide >> n) + (k % wide >> n)]
+            r = (r + (byte(to_red) * byte(g) >> 5)) % 256
+            out.append((a, r, g, (b + (byte(to_blue) * byte(g) >> 5) + (byte(both) * byte(r) >> 5)) % 256))
+        return out
+
+    def palette(self, p, wide, k, table):
+        each = 8 if k <= 2 else 4 if k <= 4 else 2 if k <= 16 else 1
+        row, out = -(-wide // each), []
+        for y in range(self.height):
+            for x in range(wide):
+                v = p[y * row + x // each][2] >> (8 // each) * (x % each) & (2 ** (8 // each) - 1)
+                out.append(table[v] if v < len(table) else (0, 0, 0, 0))
+        return out
+
+    def predict(self, p, wide, n, extra):
+        out = []
+        mean = lambda x, y: tuple((i + j) // 2 for i, j in zip(x, y))
+        for k, rest in enumerate(p):
+            y, x = divmod(k, wide)
+            left, top, corner = (out[k - d] if k >= d else None for d in (1, wide, wide + 1))
+            right = out[k - wide + 1] if y else None
+            if not k:
+                guess = (255, 0, 0, 0)
+            elif not y:
+                guess = left
+            elif not x:
+                guess = top
+            else:
+                away = lambda one, other: sum(abs(i - j) for i, j in zip(one, other))
+                over = tuple(i + j - c for i, j, c in zip(left, top, corner))
+                clip = lambda v: max(0, min(255, v))
+                middle = mean(left, top)
+                guess = [
+                    (255, 0, 0, 0), left, top, right, corner, mean(mean(left, right), top), mean(left, corner), mean(left, top), mean(corner, top), mean(top, right),
+                    mean(mean(left, corner), mean(top, right)), left if away(over, left) < away(over, top) else top, tuple(map(clip, over)),
+                    tuple(clip(i + int((i - c) / 2)) for i, c in zip(middle, corner)),
+                ][extra[(y >> n) * -(-wide >> n) + (x >> n)][2] % 14 if extra[(y >> n) * -(-wide >> n) + (x >> n)][2] < 14 else 0]
+            out.append(tuple((i + j) % 256 for i, j in zip(guess, rest)))
+        return out
+
+
+@pytest.mark.parametrize("kind", ["noise", "few", "smooth"])
+def test_a_second_decoder_reads_the_same(kind):
+    for h, w in ((1, 7), (13, 17)):
+        p = picture(kind, h, w)
+        more = [O(palette=True), O(palette=True, references=True, predictor=11, block_bits=2)] if kind == "few" else []
+        for o in OPTIONS + more:
+            got = Plain(webp.encode(p, o)).pixels
+            assert [int.from_bytes(bytes(x), "big") for x in got] == p.ravel().tolist(), (kind, h, w, o)
+
+
+def test_the_smallest_way_is_stored():
+    line = b"all of this line is said again and again, "
+    letters = R.integers(97, 123, 3200).astype(np.uint8)
+    for samples, ways in (
+        (np.frombuffer(line * 64, np.uint8)[:2624], {"references"}),
+        (np.cumsum(R.integers(-2, 3, 6400)).astype(np.uint8), {"predictor"}),
+        (letters, set()),
+    ):
+        samples = samples.reshape(-1, 64)
+        data = webp.encode_samples(samples)
+        body = Plain(data)
+        assert np.array_equal(webp.decode_samples(data), samples) and [x[2] for x in body.pixels] == samples.ravel().tolist()
+        small = len(data) < 0.6 * samples.size
+        assert small == bool(ways), ways
+
+
+def test_repeats_are_repeats():
+    p = R.integers(0, 3, 5000).astype(np.uint32)
+    found = webp.matches(p, 6)
+    end = 0
+    for at, n, far in found:
+        assert at >= end and n >= 6 and far <= at and all(p[at + k] == p[at + k - far] for k in range(n))
+        end = at + n
+    assert sum(n for _, n, _ in found) > 2500
+
+
 def test_damage_is_seen():
     data = webp.encode(picture("noise", 8, 8))
     for bad in (b"", data[:10], data[:-60], b"RIFX" + data[4:], data[:20] + b"\x00" + data[21:]):
