@@ -1,12 +1,16 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut into blocks of text at block-level tags. A block has a word count, a link density, those of its
-neighbours, and what its place in the page says: inside an article element or one named like it, inside a part that is
-named or marked as boilerplate, a heading or not. A decision tree over these, grown from the labelled table below,
-says which blocks are main text.
+A page is cut into flat blocks of text at block-level tags. A block has a word count, a link density, those of the
+blocks before and after it, and what its place in the page says: inside an article element or one named like it, inside
+a part that is marked as boilerplate, inside one whose names contradict each other, a heading or not. A decision tree
+over these, grown from the labelled table below, says which blocks are main text. On pages that mark nothing it goes by
+the neighbours: three words between paragraphs are text, between links they aren't.
+
+Parts of a line that are hidden or named as adverts are left out of their block.
 
 Defined cases: null and empty html give an empty text; tags that are never closed end with their page; a broken tag is
-text; repeated rows are extracted each; very long pages are read in one pass, in time in proportion to their length.
+text; repeated rows are extracted each; very long pages are read in one pass, in time in proportion to their length; an
+empty table gives no rows; kept columns named text or n_chars give way to the results.
 """
 
 from __future__ import annotations
@@ -37,63 +41,93 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot copyright comment comments commentlist disqus reply replies respond "
-    "related recommended recommendations share sharing social widget widgets toolbar pagination pager search form disclaimer".split()
+    "related recommended recommendations share sharing social widget widgets toolbar pagination pager search form disclaimer feedback discussion responses reactions talkback usercomments".split()
 )
+#: Of these, the ones that also count on parts of a line.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion share sharing".split())
 ARTICLE_WORDS = frozenset("article content post entry story main articlebody postbody maincontent".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNNESTED = HEADINGS | frozenset("p li dt dd tr td th hr pre".split())
 
 
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "linked", "text", "words")
+    __slots__ = ("article", "boilerplate", "heading", "linked", "text", "unsure", "words")
+
+    def __init__(self, text: str, words: int, linked: int, article: bool, boilerplate: bool, unsure: bool, heading: bool):
+        self.text, self.words, self.linked, self.article, self.boilerplate, self.unsure, self.heading = text, words, linked, article, boilerplate, unsure, heading
+
+
+def _values(attributes: str) -> Iterator[tuple[str, str]]:
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        yield key.lower(), (a or b or c).lower()
+
+
+def _hides(key: str, value: str) -> bool:
+    return key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and bool(HIDING.search(value)))
+
+
+def _words(value: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", value))
+
 
-    def __init__(self, text: str, words: int, linked: int, article: bool, boilerplate: bool, heading: bool):
-        self.text, self.words, self.linked, self.article, self.boilerplate, self.heading = text, words, linked, article, boilerplate, heading
+BOILERPLATE_MARK, ARTICLE_MARK, UNSURE_MARK = 1, 2, 4
 
 
-def _marks(name: str, attributes: str, within_article: bool) -> tuple[bool, bool]:
-    """(boilerplate, article): what an element says about what is in it."""
-    boilerplate = name in BOILERPLATE and not (name == "header" and within_article)
-    article = name in ARTICLE
+def _marks(name: str, attributes: str, within_article: bool) -> int:
+    """What an element says about what is in it, as marks. Names speak for boilerplate unless the element is an article
+    by its kind; where names speak for both, it is unsure."""
+    is_article = name in ARTICLE
+    marks = ARTICLE_MARK if is_article else BOILERPLATE_MARK if name in BOILERPLATE and not (name == "header" and within_article) else 0
     if attributes and name not in ("body", "html"):
-        for key, a, b, c in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), (a or b or c).lower()
+        named: set[str] = set()
+        for key, value in _values(attributes):
             if key in ("class", "id"):
-                named = set(re.split(r"[^a-z0-9]+", value))
-                if named & BOILERPLATE_WORDS:
-                    boilerplate = True
-                elif named & ARTICLE_WORDS and name in ("div", "section", "td"):
-                    article = True
+                named |= _words(value)
             elif key == "role":
-                boilerplate, article = boilerplate or value in BOILERPLATE_ROLES, article or value in ("main", "article")
-            elif key == "style":
-                boilerplate = boilerplate or bool(HIDING.search(value))
-            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                boilerplate = True
-    return boilerplate, article
+                marks |= BOILERPLATE_MARK * (value in BOILERPLATE_ROLES) | ARTICLE_MARK * (value in ("main", "article"))
+            elif _hides(key, value):
+                marks |= BOILERPLATE_MARK
+        if not is_article and named:
+            good, bad = bool(named & ARTICLE_WORDS) and name in ("div", "section", "td"), bool(named & BOILERPLATE_WORDS)
+            marks |= UNSURE_MARK if good and bad else BOILERPLATE_MARK * bad | ARTICLE_MARK * good
+    return marks
+
+
+def _left_out(attributes: str) -> bool:
+    """Whether a part of a line is hidden or an advert."""
+    return any(_hides(key, value) or (key in ("class", "id") and bool(_words(value) & ADVERT_WORDS)) for key, value in _values(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    inside = {True: 0, False: 0}  # open elements marked as boilerplate (True) and as article (False)
+    stack: list[tuple[str, int]] = []
+    inside = {BOILERPLATE_MARK: 0, ARTICLE_MARK: 0, UNSURE_MARK: 0}  # open elements with each mark
     links = 0
+    left_out, depth = "", 0  # the part of a line that is being left out
     heading = False
     at, n = 0, len(page)
 
+    def mark(marks: int, step: int) -> None:
+        for kind in inside:
+            if marks & kind:
+                inside[kind] += step
+
     def close() -> None:
-        nonlocal parts, linked_parts
+        nonlocal parts, linked_parts, left_out
+        left_out = ""
         if parts:
             text = " ".join("".join(parts).split())
             if text:
                 linked = len("".join(linked_parts).split()) if linked_parts else 0
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), inside[False] > 0, inside[True] > 0, heading))
+                out.append(Block(text, words, min(linked, words), inside[ARTICLE_MARK] > 0, inside[BOILERPLATE_MARK] > 0, inside[UNSURE_MARK] > 0, heading))
         parts, linked_parts = [], []
 
     def add(raw: str) -> None:
+        if left_out:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if links:
@@ -129,6 +163,11 @@ def blocks(page: str) -> list[Block]:
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
         if name in INLINE:
+            if left_out:
+                depth += (name == left_out) * (-1 if closing else 1)
+                left_out = left_out if depth else ""
+            elif not closing and attributes and name not in VOID and not attributes.endswith("/") and _left_out(attributes):
+                left_out, depth = name, 1
             continue
         close()
         if name in VOID:
@@ -139,74 +178,84 @@ def blocks(page: str) -> list[Block]:
             if attributes.endswith("/"):
                 continue
             if stack and stack[-1][0] == "p":  # a paragraph ends where the next block opens
-                _, boilerplate, article = stack.pop()
-                inside[True] -= boilerplate
-                inside[False] -= article
-            boilerplate, article = _marks(name, attributes, inside[False] > 0)
-            if name in UNNESTED and not (boilerplate or article):
+                mark(stack.pop()[1], -1)
+            marks = _marks(name, attributes, inside[ARTICLE_MARK] > 0)
+            if name in UNNESTED and not marks:
                 continue
-            stack.append((name, boilerplate, article))
-            inside[True] += boilerplate
-            inside[False] += article
+            stack.append((name, marks))
+            mark(marks, 1)
         else:
             links = 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, boilerplate, article in stack[k:]:
-                        inside[True] -= boilerplate
-                        inside[False] -= article
+                    for _, marks in stack[k:]:
+                        mark(marks, -1)
                     del stack[k:]
                     break
     close()
     return out
 
 
-NAMES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "page_has_article", "boilerplate", "heading")
+NAMES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "page_has_article", "boilerplate", "unsure", "heading")
+NEIGHBOURS = tuple(k for k, name in enumerate(NAMES) if name.endswith(("_before", "_after")))
 
 
 def rows(found: list[Block]) -> list[tuple]:
     has = any(b.article for b in found)
-    edge = (0, 0.0)
-    own = [(b.words, b.linked / b.words) for b in found]
-    out = []
-    for k, b in enumerate(found):
-        before, after = own[k - 1] if k else edge, own[k + 1] if k + 1 < len(own) else edge
-        out.append((*own[k], *before, *after, int(b.article), int(has), int(b.boilerplate), int(b.heading)))
-    return out
+    # Beyond the ends of a page there are neither words nor links.
+    own = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
+    return [(*own[k + 1], *own[k], *own[k + 2], int(b.article), int(has), int(b.boilerplate), int(b.unsure), int(b.heading)) for k, b in enumerate(found)]
 
 
-# The labelled table: blocks as the features above, and whether they are main text. Written by hand after common page layouts.
+# The labelled table: pages after common layouts. A number stands for so many words, a number before L for so many
+# linked ones; blocks that begin with + are main text, those with - aren't.
 LABELLED = (
-    # menus and link lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 1, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 0, 0, 0, 0, 0),
-    (3, 1.0, 4, 1.0, 40, 0.0, 0, 0, 0, 0, 0), (12, 0.9, 10, 0.8, 11, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 1, 0.0, 4, 1.0, 0, 1, 0, 0, 0),
-    # adverts, notices, sidebars, forms: short and long, before, within and after an article
-    (8, 0.0, 1, 1.0, 10, 0.0, 0, 1, 1, 0, 0), (30, 0.1, 60, 0.0, 45, 0.0, 1, 1, 1, 0, 0), (15, 0.0, 80, 0.0, 70, 0.0, 1, 1, 1, 0, 0), (60, 0.0, 20, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (45, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1, 0, 0), (5, 0.2, 50, 0.0, 5, 0.0, 0, 0, 1, 1, 0), (90, 0.0, 80, 0.0, 6, 0.5, 0, 0, 1, 0, 0), (4, 0.0, 6, 0.0, 120, 0.0, 1, 1, 1, 1, 0),
-    # footers and reader comments
-    (9, 0.0, 70, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (25, 0.0, 200, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (40, 0.0, 35, 0.0, 50, 0.0, 0, 1, 1, 0, 0), (120, 0.0, 90, 0.0, 30, 0.0, 1, 1, 1, 0, 0),
-    # text outside the article of a page that has one
-    (10, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0, 0), (50, 0.0, 120, 0.0, 5, 0.0, 0, 1, 0, 0, 0), (7, 0.0, 0, 0.0, 90, 0.0, 0, 1, 0, 1, 0), (100, 0.0, 60, 0.0, 40, 0.0, 0, 1, 0, 0, 0),
-    # paragraphs and headings of an article
-    (10, 0.0, 8, 0.0, 12, 0.0, 1, 1, 0, 1, 1), (2, 0.0, 9, 0.0, 150, 0.0, 1, 1, 0, 1, 1), (1, 0.0, 60, 0.0, 80, 0.0, 1, 1, 0, 0, 1), (3, 0.0, 1, 0.0, 2, 0.0, 1, 1, 0, 0, 1),
-    (80, 0.0, 10, 0.0, 75, 0.0, 1, 1, 0, 0, 1), (200, 0.0, 1, 0.0, 9, 0.0, 1, 1, 0, 0, 1), (60, 0.3, 70, 0.0, 40, 0.1, 1, 1, 0, 0, 1), (1, 0.0, 1, 0.0, 12, 0.0, 1, 1, 0, 0, 1),
-    (5, 1.0, 60, 0.0, 80, 0.0, 1, 1, 0, 0, 1), (20, 0.9, 30, 0.0, 40, 0.1, 1, 1, 0, 0, 1), (8, 0.5, 0, 0.0, 0, 0.0, 1, 1, 0, 0, 1), (15, 0.0, 6, 1.0, 9, 0.0, 1, 1, 0, 0, 1),
-    (40, 0.0, 30, 0.0, 5, 1.0, 1, 1, 0, 0, 1), (60, 0.0, 5, 1.0, 4, 1.0, 1, 1, 0, 0, 1), (6, 0.0, 3, 1.0, 2, 1.0, 1, 1, 0, 1, 1), (25, 0.2, 9, 0.8, 12, 0.9, 1, 1, 0, 0, 1), (3, 1.0, 4, 1.0, 5, 1.0, 1, 1, 0, 0, 1),
-    # pages without an article element: text by length and by company
-    (70, 0.0, 3, 1.0, 55, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 80, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (25, 0.1, 40, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 4, 1.0, 90, 0.0, 0, 0, 0, 1, 1),
-    (50, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (70, 0.1, 45, 0.0, 6, 1.0, 0, 0, 0, 0, 1), (20, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
-    (9, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (120, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 20, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 120, 0.0, 60, 0.0, 0, 0, 0, 1, 1),
-    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 5, 1.0, 6, 0.9, 0, 0, 0, 1, 0), (18, 0.6, 90, 0.0, 8, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (11, 0.5, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (40, 0.8, 9, 0.5, 20, 0.9, 0, 0, 0, 0, 0),
+    # Nothing is marked: text is known by its length and its company.
+    "<ul><li>-1L<li>-2L<li>-1L<li>-3L</ul><h1>+7</h1><p>+60<p>+3<p>+45<h2>+2</h2><p>+80<p>+1<p>+30 2L<p>+18<p>-2L<p>-3L<p>-6<p>-1L",
+    "<div>-6L</div><p>-4<div>-2L</div><p>+25<p>+12<p>+90<p>+6<p>+14<div>-5L</div><div>-5</div><div>-4L</div>",
+    "<p>+3<p>+5<p>+2<p>+4<p>+6<p>+1<p>+4",
+    "<p>+12", "<p>+2", "<h1>+4</h1><p>+1<p>+2",
+    "<table><tr><td>-2L<td>-1L<td>-2L</table><p>-2<p>-1L<h1>+5</h1><p>+9<p>+40<p>+11<p>+35<p>-4L<p>-7 6L<p>-3L<p>-9<p>-2L",
+    "<div>-3 9L</div><div>-2 10L</div><p>+50<p>+20 4L<p>+70<div>-4 12L</div><div>-8L</div>",
+    "<p>-1L<p>-3<p>-2L<h2>+6</h2><p>+22<p>+16<p>+2<p>+25<p>-3L<p>-2<p>-2L<p>-12<p>-1L",
+    "<p>+150<p>-10L<p>-12L<p>-3<p>-9L", "<p>-2L<p>-8<p>-3L<p>+33<p>+8<p>+41",
+    "<h1>+5</h1><p>+28<h2>+3</h2><p>+2<p>+17<h2>+1</h2><p>+55<p>-2L<p>-1 2L",
+    # Names that contradict each other.
+    "<div class='content related'><h1>+6</h1><p>+70<p>+4<p>+50<p>+12 1L<p>+33</div><ul><li>-3L<li>-4L</ul>",
+    "<p>+40<p>+52<div class='related post'><p>-6L<p>-7L<p>-5L<p>-4<p>-6L</div>",
+    "<div class='post header'><h1>+9</h1><p>+44<p>+3<p>+61</div>", "<article><p>+20<div class='widget entry'><p>-3L<p>-4L<p>-2<p>-5L</div><p>+30</article>",
+    "<article><div class='story footer'><h2>+4</h2><p>+31<p>+2<p>+26</div><p>+12</article>",
+    # Text outside the article of a page that has one.
+    "<ul><li>-1L<li>-2L</ul><p>-10<article><h1>+8</h1><p>+60<p>+2<p>+5L<p>+3 3L<p>+150</article><p>-50<p>-7<p>-3L<p>-100",
+    "<p>-30<p>-40<main><p>+1<p>+12L<p>+4L<p>+3L<p>+25</main><p>-60<p>-45", "<article>+4L</article><p>-5", "<article><ul><li>+2L<li>+3L<li>+1L</ul><p>+6<p>+2</article><h2>-3</h2><p>-20",
+    "<div class=post><h1>+6</h1><p>+9 9L<p>+1<p>+20L</div><p>-70<p>-4<div>-4L</div>", "<article><p>+8<h2>+1</h2><p>+1<p>+1L<p>+200<h3>+2</h3></article>",
+    # Marked parts: before, within and after an article, and without one; of any length and in any company.
+    "<nav><p>-1L<p>-2L</nav><header><h2>-3</h2></header><p>+50<p>+30<footer><p>-9<p>-40</footer>",
+    "<article><p>+60<div class=ad><p>-30 2L<p>-15</div><p>+45<div class=share>-4</div><p>+70<div class=comments><h2>-4</h2><p>-120<p>-90<p>-2</div></article>",
+    "<div class=cookie>-45</div><p>+80<aside><h2>-2</h2><p>-90<p>-5</aside><p>+6<p>+75<form>-3</form><div id=comments><p>-35<p>-40<p>-1</div>",
+    "<div class=ad>-8</div><article><p>+10<p>+40</article><div class=ad>-60</div><footer>-25</footer>", "<div class='sidebar'><p>-12<p>-70<p>-3L</div><p>+90", "<div class=notice>-20</div><p>+3<p>+4",
 )
 
 
+@cache
+def table() -> tuple[tuple, ...]:
+    """Rows of features with their labels at the end."""
+    out = []
+    for page in LABELLED:
+        page = re.sub(r"(\d+)L", lambda m: "<a href=x>" + "w " * int(m[1]) + "</a>", page)
+        page = re.sub(r"(?<=[-+> ])(\d+)(?=[< ]|$)", lambda m: "w " * int(m[1]), page)
+        found = blocks(page)
+        labels = [b.text[0] for b in found]
+        out += [(*row, int(label == "+")) for row, label in zip(rows(found), labels, strict=True)]
+    return tuple(dict.fromkeys(out))
+
+
 def _gini(labels: list[int]) -> float:
     p = sum(labels) / len(labels)
     return 2 * p * (1 - p) * len(labels)
 
 
-def grow(table: list[tuple], depth: int = 6):
+def grow(table: list[tuple], depth: int = 9):
     """A decision tree by least Gini impurity: (feature, threshold, tree up to it, tree above it) or a label."""
     labels = [r[-1] for r in table]
     if depth == 0 or len(set(labels)) == 1:
@@ -228,7 +277,7 @@ def grow(table: list[tuple], depth: int = 6):
 
 @cache
 def tree():
-    return grow(list(LABELLED))
+    return grow(list(table()))
 
 
 def is_main(row: tuple, node) -> bool:
@@ -248,6 +297,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every page, its main text and the text's code points."""
     small_batches(pages.sparkSession, 500)
+    keep = [k for k in keep if k not in ("text", "n_chars")]
     whole = pages.select(*keep, pages["html"].alias("html_page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
