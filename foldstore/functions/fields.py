@@ -10,6 +10,7 @@ from __future__ import annotations
 from enum import IntEnum
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +64,16 @@ def _float_codec(width: int):
 
     @F.pandas_udf("binary")
     def encode(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else np.asarray(v, kind).tobytes())
+        raw, missing = x.to_numpy(kind).tobytes(), x.isna().to_numpy()
+        return pd.Series([None if gone else raw[k : k + width] for k, gone in zip(range(0, len(raw), width), missing.tolist(), strict=True)], dtype=object)
 
     @F.pandas_udf("float" if width == 4 else "double")
     def decode(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None or len(v) != width else float(np.frombuffer(v, kind)[0])).astype("float64")
+        there = np.fromiter((v is not None and len(v) == width for v in x), bool, len(x))
+        out = np.full(len(x), np.nan)
+        out[there] = np.frombuffer(b"".join(x[there]), kind)
+        # Values that are there may be NaN themselves; those that aren't are null.
+        return pd.Series(pd.arrays.ArrowExtensionArray(pa.array(out.astype("f4" if width == 4 else "f8"), mask=~there)))
 
     return encode, decode
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from foldstore.functions.codec import require_key
 from foldstore.functions.fields import FieldType, decode_cell
 
+
 def get(state: DataFrame, key, field: str) -> DataFrame:
-    """One row: exists, type and value of a field of a document; nulls if either is absent."""
+    """One row: exists, type and value of a field of a document; nulls if either is absent. A key that lies in several
+    log partitions answers with its last write."""
     key = F.lit(bytearray(require_key(key))) if not isinstance(key, (int, Column)) else (key if isinstance(key, Column) else F.lit(key))
-    found = state.where((F.col("pk") == key) & (F.col("field") == field)).select("type", "value")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.first("type").alias("type"), F.first("value").alias("value")).select((F.col("n") > 0).alias("exists"), "type", "value")
+    found = state.where((F.col("pk") == key) & (F.col("field") == field)).select("type", "value", "off")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.max_by("type", "off").alias("type"), F.max_by("value", "off").alias("value")).select((F.col("n") > 0).alias("exists"), "type", "value")
 
 
 def get_as(state: DataFrame, key, field: str, kind: FieldType) -> DataFrame:

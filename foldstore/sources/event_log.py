@@ -106,26 +106,37 @@ class EventLog:
         return files.names(self.spark, f"{self.path}/commits")
 
     def read(self, after: Mapping[int, int] | int | None = None) -> DataFrame:
-        """All events, or those above an offset (one for all log partitions or one for each)."""
-        commits = self.commits()
+        """All events, or those above an offset (one for all log partitions or one for each, none for those left out).
+
+        Commits below the least offset aren't opened, and the least offset itself goes down to the scan.
+        """
+        least = after if isinstance(after, int) else min((after or {}).get(p, -1) for p in range(self.config.partitions))
+        least = -1 if least is None else least
+        commits = [c for c in self.commits() if (int(c) + 1) << (ROW_BITS + TASK_BITS) > least + 1]
         if not commits:
             return self.spark.createDataFrame([], RAW)
-        if isinstance(after, int):
-            commits = [c for c in commits if int(c) >= after >> (ROW_BITS + TASK_BITS)]  # whole commits are skipped by name
-        found = self.spark.read.schema(RAW).parquet(*[f"{self.path}/commits/{c}" for c in commits]) if commits else self.spark.createDataFrame([], RAW)
-        if isinstance(after, int):
-            return found.where(F.col("log_offset") > after)
-        if after:
+        found = self.spark.read.schema(RAW).parquet(*[f"{self.path}/commits/{c}" for c in commits])
+        if least >= 0:
+            found = found.where(F.col("log_offset") > least)
+        if isinstance(after, Mapping) and any(o > least for o in after.values()):
             known = F.create_map(*[F.lit(x) for p, o in after.items() for x in (int(p), int(o))])
-            return found.where(F.col("log_offset") > F.coalesce(known[F.col("log_partition")], F.lit(-1)))
+            found = found.where(F.col("log_offset") > F.coalesce(known[F.col("log_partition")], F.lit(-1)))
         return found
 
+    def files_of(self, commit: int) -> list[str]:
+        """Names of the data files of a commit."""
+        return [n for n in files.names(self.spark, f"{self.path}/commits/{commit:012d}") if n.endswith(".parquet")]
+
+    def end_of(self, commit: int) -> dict[int, int]:
+        """The last offset that a commit can have, for each log partition."""
+        return {p: ((commit + 1) << (ROW_BITS + TASK_BITS)) - 1 for p in range(self.config.partitions)}
+
     def stream(self, max_files: int | None = None) -> DataFrame:
-        """The log as a stream; commits appear whole and in order."""
+        """The log as a stream, with the file of each event; a commit appears whole, and its files in any order."""
         reader = self.spark.readStream.schema(RAW).option("recursiveFileLookup", "true")
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
-        return reader.parquet(f"{self.path}/commits")
+        return reader.parquet(f"{self.path}/commits").withColumn("log_file", F.col("_metadata.file_path"))
 
 
 def kafka_log(spark: SparkSession, servers: str, topic: str, *, stream: bool = False, **options: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Published images of live cells: Parquet by epoch, each with a manifest that is written last.
 
 An image without a manifest doesn't exist for readers, so that a publishing job may be lost at any time. The manifest
-names the last offset that the image has of each log partition.
+names the offset of each log partition up to which the image has every event, and the files of the log above that it
+has too. An image that events may be delivered to again also holds the horizons of what was deleted.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstore.operators.maintenance import STALE_AFTER_MS, compacted
-from foldstore.plans.fold import STATE
+from foldstore.plans.fold import HORIZON, STATE
 from foldstore.sources import files
 
 
@@ -23,6 +25,8 @@ class Image:
     epoch: int
     offsets: dict[int, int]
     cells: int
+    through: int = -1  # commits up to this one are in the image
+    files: dict[int, list[str]] = field(default_factory=dict)  # of later commits these files are
 
 
 class Snapshots:
@@ -32,33 +36,52 @@ class Snapshots:
     def _manifest(self, epoch: int) -> str:
         return f"{self.path}/epoch={epoch:020d}/manifest.json"
 
-    def publish(self, live: DataFrame, epoch: int, offsets: dict[int, int], buckets: int | None = None) -> Image | None:
+    def publish(self, live: DataFrame, epoch: int, offsets: dict[int, int], buckets: int | None = None, *, deleted: DataFrame | None = None, through: int = -1, files_above: dict[int, list[str]] | None = None) -> Image | None:
         """Write an image; None if that epoch is published already. Leftovers of a lost attempt are replaced."""
         if files.exists(self.spark, self._manifest(epoch)):
             return None
-        data = f"{self.path}/epoch={epoch:020d}/cells"
-        compacted(live, buckets).write.mode("overwrite").partitionBy("log_partition").parquet(data)
-        n = self.spark.read.schema(STATE).parquet(data).count()
-        text = json.dumps({"epoch": epoch, "offsets": {str(k): v for k, v in offsets.items()}, "cells": n})
-        return self.open(epoch) if files.write_text(self.spark, self._manifest(epoch), text) else None
+        # Each attempt writes to folders of its own, so that rivals for an epoch never mix their files; the manifest names them.
+        path, attempt = f"{self.path}/epoch={epoch:020d}", uuid.uuid4().hex
+        compacted(live, buckets).write.partitionBy("log_partition").parquet(f"{path}/cells-{attempt}")
+        if deleted is not None:
+            deleted.write.partitionBy("log_partition").parquet(f"{path}/horizons-{attempt}")
+        n = self.spark.read.schema(STATE).parquet(f"{path}/cells-{attempt}").count()
+        manifest = {"epoch": epoch, "offsets": {str(k): v for k, v in offsets.items()}, "cells": n, "attempt": attempt, "horizons": deleted is not None, "through": through, "files": files_above or {}}
+        if files.write_text(self.spark, self._manifest(epoch), json.dumps(manifest)):
+            return self.open(epoch)
+        for kind in ("cells", "horizons"):
+            files.delete(self.spark, f"{path}/{kind}-{attempt}")
+        return None
 
     def epochs(self) -> list[int]:
         """Published epochs, oldest first."""
         found = [int(n.partition("=")[2]) for n in files.names(self.spark, self.path) if n.startswith("epoch=")]
         return sorted(e for e in found if files.exists(self.spark, self._manifest(e)))
 
+    def _read(self, epoch: int) -> dict:
+        return json.loads(files.read_text(self.spark, self._manifest(epoch)))
+
     def open(self, epoch: int) -> Image:
-        m = json.loads(files.read_text(self.spark, self._manifest(epoch)))
-        return Image(f"{self.path}/epoch={epoch:020d}", m["epoch"], {int(k): v for k, v in m["offsets"].items()}, m["cells"])
+        m = self._read(epoch)
+        return Image(f"{self.path}/epoch={epoch:020d}", m["epoch"], {int(k): v for k, v in m["offsets"].items()}, m["cells"], m["through"], {int(k): v for k, v in m["files"].items()})
 
     def latest(self) -> Image | None:
         epochs = self.epochs()
         return self.open(epochs[-1]) if epochs else None
 
+    def _table(self, image: Image | None, kind: str, schema: str) -> DataFrame:
+        names = [x.split()[0] for x in schema.split(", ")]
+        m = self._read(image.epoch) if image else {}
+        if not image or (kind == "horizons" and not m["horizons"]):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{image.path}/{kind}-{m['attempt']}").select(*names)
+
     def cells(self, image: Image | None) -> DataFrame:
-        if image is None:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{image.path}/cells").select(*[x.split()[0] for x in STATE.split(", ")])
+        return self._table(image, "cells", STATE)
+
+    def deleted(self, image: Image | None) -> DataFrame:
+        """The horizons that an image keeps."""
+        return self._table(image, "horizons", HORIZON)
 
     def needs_refresh(self, local_epoch: int | None, now_ms: int) -> bool:
         """Is the local image missing, or old while a fresh one is published?"""

@@ -12,10 +12,10 @@ from foldstore.config import StoreConfig, merge_options
 from foldstore.functions.fields import FieldType
 from foldstore.operators import lookup, maintenance
 from foldstore.operators.validation import split
-from foldstore.plans.fold import drops, fold, registry, writes
+from foldstore.plans.fold import drops, fold, horizons, registry, writes
 from foldstore.sources import files
 from foldstore.sources.event_log import EventLog
-from foldstore.sources.snapshots import Image, Snapshots, last_offsets
+from foldstore.sources.snapshots import Image, Snapshots
 from foldstore.streaming.maintainer import Maintainer
 
 
@@ -69,12 +69,16 @@ class Store:
 
     # ---- reading
 
-    def state(self) -> DataFrame:
-        """Live cells: the newest image and the events above it."""
+    def _base(self) -> tuple[Image | None, Snapshots]:
+        """The image that reaches furthest, and its shelf."""
         found = [(image, shelf) for shelf in (self.images, self.live) if (image := shelf.latest())]
-        image, shelf = max(found, key=lambda x: sum(x[0].offsets.values()), default=(None, self.images))
+        return max(found, key=lambda x: sum(x[0].offsets.values()), default=(None, self.images))
+
+    def state(self) -> DataFrame:
+        """Live cells: the image that reaches furthest and the events above it."""
+        image, shelf = self._base()
         good, _ = split(self.log.read(image.offsets if image else None), self.config.primary_key)
-        return fold(good, self.config.primary_key, shelf.cells(image) if image else None)
+        return fold(good, self.config.primary_key, shelf.cells(image), shelf.deleted(image)) if image else fold(good, self.config.primary_key)
 
     def dead_letters(self) -> DataFrame:
         return split(self.log.read(), self.config.primary_key)[1]
@@ -121,14 +125,27 @@ class Store:
     # ---- maintenance
 
     def compact(self, epoch: int | None = None) -> tuple[Image | None, dict]:
-        """Publish an image of the present state; the image, and sizes before and after."""
-        events = self.log.read()
-        offsets = last_offsets(events)
-        live = self.state()
-        image = self.images.publish(live, epoch if epoch is not None else int(time.time() * 1000), offsets)
-        written = writes(split(events, self.config.primary_key)[0]).where("not deleted")
-        stats = maintenance.compaction_stats(written, self.images.cells(self.images.latest())).first().asDict()
-        return image, stats
+        """Publish an image of the present state; the image, and sizes before and after.
+
+        Before is what lies in the store now: the cells of the last image and all that was written since, less what a drop
+        of everything has cleared.
+        """
+        last = self.images.latest()
+        image, shelf = self._base()
+        commits = self.log.commits()
+        through = int(commits[-1]) if commits else -1
+        pk = self.config.primary_key
+        good = split(self.log.read(image.offsets if image else None), pk)[0]
+        deleted = horizons(good, shelf.deleted(image))
+        live = fold(good, pk, shelf.cells(image), shelf.deleted(image)) if image else fold(good, pk)
+        since = split(self.log.read(last.offsets if last else None), pk)[0]
+        written = writes(since).where("not deleted").select("log_partition", "pk", "field", "value", "off").unionByName(self.images.cells(last).select("log_partition", "pk", "field", "value", "off"))
+        cleared = drops(since).where("kind = 'all'").select("log_partition", F.col("off").alias("all_off"))
+        written = written.join(cleared, "log_partition", "left").where("off > coalesce(all_off, -1)").drop("all_off")
+        before = maintenance.sizes(written).first()
+        published = self.images.publish(live, epoch if epoch is not None else int(time.time() * 1000), self.log.end_of(through), deleted=deleted, through=through)
+        after = maintenance.sizes(self.images.cells(self.images.latest())).first()
+        return published, {f"{n}_{when}": row[n] for when, row in (("before", before), ("after", after)) for n in ("cells", "documents", "bytes")}
 
     def maintainer(self, **options) -> Maintainer:
         return Maintainer(self.log, self.live, **options)

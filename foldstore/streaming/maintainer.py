@@ -1,22 +1,20 @@
 """Keeping live cells current from the log as a stream.
 
-A micro-batch is folded onto the image before it and published as the next one; its epoch is made from the batch's number,
-so that a batch that is delivered again after a failure is published once. Between images readers add the events above
-the image's offsets, see ``Store.state``.
+A micro-batch is folded onto the newest image and published as the next one. Images hold the horizons of deletes, so that
+any event may come again, after a lost checkpoint or from a rival, and changes nothing. An image names what it holds: all
+commits up to one, and files of later ones. A batch that brings no file that the image lacks is done; what it brings is
+never judged by its number. Readers add the events above the image's offsets, see ``Store.state``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from foldstore.operators.validation import split
-from foldstore.plans.fold import fold
+from foldstore.plans.fold import fold, horizons
 from foldstore.sources.event_log import EventLog
-from foldstore.sources.snapshots import Snapshots, last_offsets
+from foldstore.sources.snapshots import Image, Snapshots
 
 
 class Maintainer:
@@ -24,18 +22,36 @@ class Maintainer:
         self.log, self.images, self.keep, self.dead_letters = log, images, keep, dead_letters
         self.pk = log.config.primary_key
 
+    def _held(self, image: Image | None, brought: list[tuple[int, str]]) -> tuple[int, dict[int, list[str]]] | None:
+        """What an image holds once the files ``brought`` (commit, name) are in it; None if it has them all."""
+        through = image.through if image else -1
+        above = {c: set(n) for c, n in image.files.items()} if image else {}
+        new = [(c, n) for c, n in brought if c > through and n not in above.get(c, ())]
+        if not new:
+            return None
+        for c, n in new:
+            above.setdefault(c, set()).add(n)
+        commits = {int(c) for c in self.log.commits()}
+        while through + 1 in commits and set(self.log.files_of(through + 1)) <= above.get(through + 1, set()):
+            through += 1
+            above.pop(through, None)
+        return through, {c: sorted(n) for c, n in above.items()}
+
     def _merge(self, batch: DataFrame, batch_id: int) -> None:
-        before = [e for e in self.images.epochs() if e <= batch_id]
-        image = self.images.open(before[-1]) if before else None
-        if image and image.epoch == batch_id:
-            return
         batch = batch.persist()
         try:
-            good, bad = split(batch, self.pk)
+            paths = [r[0].rstrip("/").split("/")[-2:] for r in batch.select("log_file").distinct().toLocalIterator()]
+            brought = [(int(commit), name) for commit, name in paths]
+            good, bad = split(batch.drop("log_file"), self.pk)
             if self.dead_letters:
                 bad.write.mode("overwrite").parquet(f"{self.dead_letters}/batch={batch_id:020d}")
-            offsets = {**(image.offsets if image else {}), **last_offsets(batch)}
-            self.images.publish(fold(good, self.pk, self.images.cells(image)), batch_id, offsets)
+            while held := self._held(image := self.images.latest(), brought):
+                through, above = held
+                before = self.images.deleted(image)
+                live = fold(good, self.pk, self.images.cells(image), before)
+                # None: a rival has published this epoch; what it left out is folded onto its image.
+                if self.images.publish(live, image.epoch + 1 if image else 0, self.log.end_of(through), deleted=horizons(good, before), through=through, files_above=above):
+                    break
             self.images.retire(self.keep)
         finally:
             batch.unpersist()
@@ -53,44 +69,3 @@ class Maintainer:
         self.catch_up(checkpoint, max_files)
         return self._start(checkpoint, {"processingTime": every}, max_files)
 
-
-def keyed_state(events: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The same fold as a keyed stateful stream: cells of a document in map state, every change sent on.
-
-    Field drops have no key; they are applied to the table of changes when it is read, as horizons. Emits (log_partition,
-    pk, field, type, value, off, deleted); for each cell the row with the greatest off holds.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Documents(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.cells = handle.getMapState("cells", "field string", "off bigint")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            part, pk = key
-            events = pd.concat(list(rows)).sort_values("log_offset")
-            out = []
-            for e in events.itertuples():
-                if e.op == "upsert":
-                    for name, c in dict(e.doc).items():
-                        if 1 <= c["type"] <= 7:
-                            out.append((part, pk, name, c["type"], c["value"], e.log_offset, False))
-                            self.cells.updateValue((name,), (e.log_offset,))
-                elif e.op == "delete_fields":
-                    for name in e.fields:
-                        if self.cells.containsKey((name,)):
-                            self.cells.removeKey((name,))
-                            out.append((part, pk, name, None, None, e.log_offset, True))
-                elif e.op == "delete_doc":
-                    for (name,) in list(self.cells.keys()):
-                        self.cells.removeKey((name,))
-                        out.append((part, pk, name, None, None, e.log_offset, True))
-            if out:
-                frame = pd.DataFrame(out, columns=["log_partition", "pk", "field", "type", "value", "off", "deleted"])
-                yield frame.astype({"type": "Int32"})
-
-        def close(self) -> None:
-            pass
-
-    schema = "log_partition int, pk binary, field string, type int, value binary, off bigint, deleted boolean"
-    return events.where("pk is not null").groupBy("log_partition", "pk").transformWithStateInPandas(Documents(), schema, "Update", "None")
