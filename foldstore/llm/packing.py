@@ -82,20 +82,21 @@ class WordTokenizer:
         if not PLAIN.fullmatch(text) or "<|" in text:
             return self._direct(text)
         words = text.lower().split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            new = {w for w in words if w not in self.young}
+        young = self.young
+        new = [w for w in set(words) if w not in young]
+        if new:
             if len(new) > CACHE:
                 return self._direct(text)
-            if len(self.young) + len(new) > CACHE:
-                self.young, self.elder = {}, self.young
-                new = set(words)
-            old = {w: ids for w in new if (ids := self.elder.get(w)) is not None}
-            self.young.update(old)
-            if fresh := [w for w in new if w not in old]:
+            if len(young) + len(new) > CACHE:
+                self.young, self.elder = young, _ = {}, young
+                new = list(set(words))
+            elder = self.elder
+            fresh = [w for w in new if w not in elder]
+            if len(fresh) < len(new):
+                young.update((w, elder[w]) for w in new if w in elder)
+            if fresh:
                 self._learn(fresh)
-            return b"".join(map(self.young.__getitem__, words))
+        return b"".join(map(young.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
