@@ -9,7 +9,9 @@ whole blocks as its budget pays for and a prefix of one more.
 Nothing is ordered in one task. A permutation is the order of an md5; its leading hex digits cut a source into slices
 of some thousand rows, slices are summed first, and only rows of one slice meet in a window.
 
-Defined cases: a null source is a source of its own; null and empty texts have 0 tokens, so they are scheduled in
+Defined cases: rows of one key, which repeated rows have, and rows without an id of the same number of tokens, are
+ordered by id, then tokens, and are otherwise alike; very long texts are counted whole; columns of any name go along
+untouched; a null source is a source of its own; null and empty texts have 0 tokens, so they are scheduled in
 whole blocks and in a prefix that reaches them; repeated rows are scheduled each; sources without a token get weight 0
 and no block; an empty table gives an empty schedule.
 """
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from foldstore.llm.runtime import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Points at which one round of the bisection looks: five halvings of the interval.
-POINTS = 31
-ROUNDS = 8
+#: Points at which one round of the bisection looks: eight halvings of the interval.
+POINTS = 255
+ROUNDS = 5
 
 
 def word_tokens(text: str = "text") -> Column:
@@ -43,18 +45,16 @@ class Mixture:
 
 
 def _measure(totals: DataFrame, exponents: list[float], whole: float, budget: float) -> list[tuple[float, float]]:
-    """(entropy, most repetitions) of the weights under each exponent, in one aggregation."""
-    p = F.col("mix_tokens") / F.lit(whole)
-    aggs = []
-    for k, a in enumerate(exponents):
-        power = F.pow(p, F.lit(a))
-        aggs += [F.sum(power).alias(f"s{k}"), F.sum(power * F.log(p)).alias(f"l{k}"), F.max(power / p).alias(f"r{k}")]
-    row = totals.agg(*aggs).first()
-    out = []
-    for k, a in enumerate(exponents):
-        s = row[f"s{k}"]
-        out.append((math.log(s) - a * row[f"l{k}"] / s, row[f"r{k}"] / s * budget / whole))
-    return out
+    """(entropy, most repetitions) of the weights under each exponent, in one aggregation.
+
+    The exponents are an array that the generated code refers to, so that every round runs the code of the first.
+    """
+    p, a = F.col("mix_tokens") / F.lit(whole), F.col("a")
+    power = F.pow("p", a)
+    rows = totals.select(p.alias("p"), F.posexplode(F.lit(exponents)).alias("k", "a"))
+    sums = rows.groupBy("k").agg(F.sum(power).alias("s"), F.sum(power * F.log("p")).alias("l"), F.max(power / F.col("p")).alias("r"))
+    found = {r["k"]: r for r in sums.collect()}  # a row for each exponent
+    return [(math.log(r["s"]) - a * r["l"] / r["s"], r["r"] / r["s"] * budget / whole) for a, r in ((a, found[k]) for k, a in enumerate(exponents))]
 
 
 def _bisect(totals: DataFrame, whole: float, budget: float, meets) -> float:
@@ -117,7 +117,7 @@ def _cover_exponent(totals: DataFrame, whole: float, most: float, limit: float)
     if least == most or (least / most) ** -1.0 <= limit:
         return 0.0
     low, high = 0.0, 1.0
-    for _ in range(ROUNDS * 5):
+    for _ in range(ROUNDS * 8):
         mid = (low + high) / 2
         low, high = (low, mid) if (least / most) ** (mid - 1) <= limit else (mid, high)
     return round(high, 9)
@@ -128,8 +128,10 @@ def _digits(rows: int, per_slice: int) -> int:
     return max(1, math.ceil(math.log(max(1.0, rows / per_slice), 16)))
 
 
-def _key(seed: int, block: Column, doc: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))))
+def _key(seed: int, block: Column, doc: Column, tokens: Column) -> Column:
+    """Rows without an id go by their tokens, so that they don't all fall into one slice."""
+    name = F.coalesce(doc.cast("string"), F.concat(F.lit("null"), tokens.cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), name))
 
 
 def _in_order(rows: DataFrame, digits: int) -> DataFrame:
@@ -165,7 +167,7 @@ def schedule(docs: DataFrame, *, source: str = "source", doc: str = "doc_id", te
         slim.join(plan, F.col("mix_source").eqNullSafe(F.col("p_source")))
         .withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("blocks")).otherwise(F.col("blocks") - 1))))
         .where(F.col("mix_block") >= 0)
-        .withColumn("mix_key", _key(seed, F.col("mix_block"), "mix_doc"))
+        .withColumn("mix_key", _key(seed, F.col("mix_block"), F.col("mix_doc"), F.col("mix_tok")))
     )
     found = _in_order(rows, _digits(most, per_slice)).where((F.col("mix_block") < F.col("blocks")) | (F.col("mix_cum") <= F.col("rest")))
     return found.select(F.col("mix_source").alias("source"), F.col("mix_block").cast("int").alias("block"), F.col("mix_pos").alias("position"), F.col("mix_doc").alias("doc_id"), F.col("mix_tok").alias("tokens"), "weight")
@@ -181,16 +183,13 @@ def apply_mixture(docs: DataFrame, *, source: str = "source", doc: str = "doc_id
     plan = mixture(slim, "mix_tok", "mix_source", **limits).plan
     most = plan.agg(F.max("mix_rows").alias("m")).first()["m"] or 0
     p = plan.select(F.col("mix_source").alias("p_source"), "blocks", "rest")
-    last = slim.join(p, F.col("mix_source").eqNullSafe(F.col("p_source"))).where("rest > 0").withColumn("mix_block", F.col("blocks")).withColumn("mix_key", _key(seed, F.col("mix_block"), "mix_doc"))
+    last = slim.join(p, F.col("mix_source").eqNullSafe(F.col("p_source"))).where("rest > 0").withColumn("mix_block", F.col("blocks")).withColumn("mix_key", _key(seed, F.col("mix_block"), F.col("mix_doc"), F.col("mix_tok")))
     order = F.struct("mix_key", "mix_doc", "mix_tok")
     ends = _in_order(last, _digits(most, per_slice)).where("mix_cum <= rest").groupBy("mix_source").agg(F.max(order).alias("mix_end"))
     ends = cut(p.join(ends, F.col("p_source").eqNullSafe(F.col("mix_source")), "left").select("p_source", "blocks", "mix_end"), "mix-ends")
-    here = F.struct(_key(seed, F.col("blocks"), doc).alias("mix_key"), F.col(doc).alias("mix_doc"), word_tokens(text).alias("mix_tok"))
+    # A row travels as one struct, so that its columns may have any names.
+    rows = docs.select(F.col(source).alias("mix_source"), F.col(doc).alias("mix_doc"), word_tokens(text).alias("mix_tok"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    here = F.struct(_key(seed, F.col("blocks"), F.col("mix_doc"), F.col("mix_tok")).alias("mix_key"), "mix_doc", "mix_tok")
     times = F.col("blocks") + F.when(F.col("mix_end").isNotNull() & (here <= F.col("mix_end")), 1).otherwise(0)
-    return (
-        docs.join(ends, F.col(source).eqNullSafe(F.col("p_source")))
-        .withColumn("mix_times", times)
-        .withColumn("mix_n", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("mix_times"), F.lit(1)))))
-        .where("mix_times > 0")
-        .select(*[docs[c] for c in docs.columns])
-    )
+    read = rows.join(ends, F.col("mix_source").eqNullSafe(F.col("p_source"))).withColumn("mix_times", times).where("mix_times > 0")
+    return read.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times")))).select("row.*")

@@ -50,7 +50,7 @@ rows_ AS (
   FROM slim s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 ranked AS (
   SELECT *, row_number() OVER w AS position, sum(tok) OVER (w ROWS UNBOUNDED PRECEDING) AS cum
-  FROM rows_ WINDOW w AS (PARTITION BY source, block ORDER BY md5('7:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, tok))
+  FROM rows_ WINDOW w AS (PARTITION BY source, block ORDER BY md5('7:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null' || tok)), doc_id, tok))
 SELECT source, CAST(block AS INTEGER) AS block, CAST(position AS BIGINT) AS position, doc_id, tok AS tokens, weight
 FROM ranked WHERE block < blocks OR cum <= rest
 """

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldstore.llm import mixing
 
@@ -87,3 +88,21 @@ def test_odd_tables(spark, corpus):
     assert mixing.apply_mixture(spark.createDataFrame([(1, None, "a"), (2, "", None)], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (2, None, "s")], SCHEMA)
     assert sorted(r.doc_id for r in mixing.schedule(one).collect()) == [1, 1, 2]
+
+
+def test_columns_of_any_name_go_along(spark, corpus):
+    odd = corpus.withColumn("blocks", F.lit(3)).withColumn("p_source", F.lit("p")).withColumn("mix_end", F.lit(1)).withColumn("mix_times", F.lit(2)).withColumn("a.b", F.lit(9))
+    back = mixing.apply_mixture(odd, entropy_share=None, max_repeats=2.0, cover=True)
+    assert back.columns == odd.columns
+    ids = {r.doc_id for r in odd.where("regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') > 0").select("doc_id").collect()}
+    assert ids <= {r.doc_id for r in back.select("doc_id").collect()}
+    assert back.where("blocks <> 3 or p_source <> 'p' or mix_end <> 1 or mix_times <> 2 or `a.b` <> 9 or mix_n <> 1").count() == 0
+
+
+def test_rows_without_an_id_and_long_texts(spark):
+    rows = [(None, "w " * (k % 40 + 1), "a") for k in range(400)] + [(1, "w " * 300_000, "b"), (1, "w " * 300_000, "b"), (2, None, "b")]
+    got = mixing.schedule(spark.createDataFrame(rows, SCHEMA), entropy_share=None, max_repeats=None, per_slice=20)
+    # Equal weights: source a, short of tokens, is read again and again, b in part.
+    places = Counter((r.source, r.block, r.position) for r in got.collect())
+    assert max(places.values()) == 1
+    assert sum(n for (source, block, _), n in places.items() if source == "a" and block == 0) == 400
