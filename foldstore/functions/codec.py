@@ -39,6 +39,28 @@ def unpack(data: bytes, *, skip_empty: bool = False) -> list[bytes | None]:
     return out
 
 
+def varint(n: int) -> bytes:
+    """A number below 2^64 in groups of seven bits, lowest first, all but the last marked by their top bit."""
+    out = bytearray()
+    while True:
+        n, low = n >> 7, n & 127
+        out.append(low | 128 if n else low)
+        if not n:
+            return bytes(out)
+
+
+def read_varint(data: bytes, at: int = 0) -> tuple[int, int]:
+    """(number, place after it)."""
+    n = shift = 0
+    while True:
+        if at >= len(data) or shift > 63:
+            raise ValueError("a number that doesn't end")
+        b = data[at]
+        n, at, shift = n | (b & 127) << shift, at + 1, shift + 7
+        if b < 128:
+            return n, at
+
+
 @F.pandas_udf(T.BinaryType())
 def pack_column(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else pack(list(v)))
@@ -80,6 +102,12 @@ def key_digest(passkey: str) -> tuple[str, str]:
     return base64.b64encode(raw).decode(), base64.b64encode(hashlib.md5(raw).digest()).decode()
 
 
+def key_digest_columns(passkey: Column) -> tuple[Column, Column]:
+    """As ``key_digest``, of a column of pass keys of single-byte characters."""
+    raw = F.substring(F.repeat(passkey, 32), 1, 32)
+    return F.base64(raw.cast("binary")), F.base64(F.unhex(F.md5(raw.cast("binary"))))
+
+
 def shard(key: Column, shards: int) -> Column:
     """A stable shard of a key by the head of its MD5; the same in every SQL engine."""
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int") % shards).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstore.functions.codec import image_parts, version
@@ -70,3 +70,15 @@ def stale(local_epoch: Column, remote_epoch: Column, now_ms: Column, valid: Colu
 
 def newest_version(versions: DataFrame, column: str = "version") -> DataFrame:
     return versions.agg(F.max_by(column, version(column)).alias(column))
+
+
+def renumbered(fields: DataFrame) -> DataFrame:
+    """(log_partition, field, field_id, old_id): ids without gaps in the order of the old ones, as a compaction gives them."""
+    order = Window.partitionBy("log_partition").orderBy("field_id", "field")
+    return fields.select("log_partition", "field", (F.row_number().over(order) - 1).cast("int").alias("field_id"), F.col("field_id").alias("old_id"))
+
+
+def sizes_by_partition(cells: DataFrame) -> DataFrame:
+    """Sizes as in ``sizes``, a row for each log partition."""
+    per_doc = cells.groupBy("log_partition", "pk").agg(F.count(F.lit(1)).alias("n"), F.sum(payload_bytes(F.col("value"))).alias("b"))
+    return per_doc.groupBy("log_partition").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("documents"), F.sum("b").alias("bytes"))

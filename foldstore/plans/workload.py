@@ -470,14 +470,11 @@ def _binary_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kv_stream_equals_batch(spark, sf_dir):
     """The log appended in four commits and folded by the streaming maintainer, one commit a micro-batch."""
-    import tempfile
-    import uuid
-
     from foldstore.config import StoreConfig
+    from foldstore.sources import files
     from foldstore.store import Store
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/foldstore-stream-{uuid.uuid4().hex}"
+    path = files.scratch(spark, "stream")
     store = Store.create(spark, StoreConfig("acct", "events", "user_id", path=path))
     raw = _binary_log(spark, sf_dir)
     top = raw.agg(F.max("log_offset")).first()[0]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstore.config import StoreConfig
+from foldstore.document import Document
 from foldstore.functions.codec import require_name
 from foldstore.functions.fields import CELL, FieldType, cell
 from foldstore.plans.fold import EVENT
@@ -49,6 +50,10 @@ class EventLog:
             numbered = events.withColumn("log_offset", offset_of(number))
             schema = [x.split()[0] for x in RAW.split(", ")]
             numbered.select(*schema).write.parquet(staged)
+            # Spark writes a file for the first task even if it has no rows; a commit holds files with events only.
+            for name in [n for n in files.names(self.spark, staged) if n.startswith("part-00000")]:
+                if self.spark.read.schema(RAW).parquet(f"{staged}/{name}").isEmpty():
+                    files.delete(self.spark, f"{staged}/{name}")
             if files.publish(self.spark, staged, f"{self.path}/commits/{number:012d}"):
                 return number
 
@@ -70,6 +75,12 @@ class EventLog:
         """One upsert for each row, in their order; the number of the commit."""
         return self._append(self._events(self._documents(rows, fields), "upsert"))
 
+    def upsert_documents(self, documents: Iterable[Document]) -> int:
+        """One upsert for each document, in their order."""
+        rows = [({n: (k, bytearray(v)) for n, (k, v) in d.cells.items()},) for d in documents]
+        docs = self.spark.createDataFrame(rows, f"doc map<string,{CELL}>").coalesce(1)
+        return self._append(self._events(docs, "upsert"))
+
     def _keys(self, rows: DataFrame, fields: Mapping[str, FieldType]) -> DataFrame:
         """Only the key fields go on with a delete."""
         mine = {n: k for n, k in fields.items() if n in (self.config.primary_key, self.config.partitioning_key)}
@@ -138,15 +149,3 @@ class EventLog:
             reader = reader.option("maxFilesPerTrigger", max_files)
         return reader.parquet(f"{self.path}/commits").withColumn("log_file", F.col("_metadata.file_path"))
 
-
-def kafka_log(spark: SparkSession, servers: str, topic: str, *, stream: bool = False, **options: str) -> DataFrame:
-    """Raw records of a Kafka topic with their partition and offset; needs Spark's Kafka package on the class path.
-
-    Records without a payload are skipped. With a stored offset below the topic's first one, reading starts at the
-    first.
-    """
-    reader = spark.readStream if stream else spark.read
-    reader = reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("failOnDataLoss", "false")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.load().where("value is not null").selectExpr("partition as log_partition", "offset as log_offset", "key", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,16 @@ def resolve(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder that the cluster names; a local session without one has its temporary folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("the cluster names no shared folder in spark.checkpoint.dir")
+        found = f"file://{tempfile.gettempdir()}/foldstore-scratch"
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = resolve(spark, path)
     return fs.exists(p)

@@ -27,6 +27,7 @@ class Image:
     cells: int
     through: int = -1  # commits up to this one are in the image
     files: dict[int, list[str]] = field(default_factory=dict)  # of later commits these files are
+    fields: dict[int, list[str]] = field(default_factory=dict)  # fields of each log partition in the order of their ids
 
 
 class Snapshots:
@@ -36,7 +37,7 @@ class Snapshots:
     def _manifest(self, epoch: int) -> str:
         return f"{self.path}/epoch={epoch:020d}/manifest.json"
 
-    def publish(self, live: DataFrame, epoch: int, offsets: dict[int, int], buckets: int | None = None, *, deleted: DataFrame | None = None, through: int = -1, files_above: dict[int, list[str]] | None = None) -> Image | None:
+    def publish(self, live: DataFrame, epoch: int, offsets: dict[int, int], buckets: int | None = None, *, deleted: DataFrame | None = None, through: int = -1, files_above: dict[int, list[str]] | None = None, fields: dict[int, list[str]] | None = None) -> Image | None:
         """Write an image; None if that epoch is published already. Leftovers of a lost attempt are replaced."""
         if files.exists(self.spark, self._manifest(epoch)):
             return None
@@ -46,7 +47,7 @@ class Snapshots:
         if deleted is not None:
             deleted.write.partitionBy("log_partition").parquet(f"{path}/horizons-{attempt}")
         n = self.spark.read.schema(STATE).parquet(f"{path}/cells-{attempt}").count()
-        manifest = {"epoch": epoch, "offsets": {str(k): v for k, v in offsets.items()}, "cells": n, "attempt": attempt, "horizons": deleted is not None, "through": through, "files": files_above or {}}
+        manifest = {"epoch": epoch, "offsets": {str(k): v for k, v in offsets.items()}, "cells": n, "attempt": attempt, "horizons": deleted is not None, "through": through, "files": files_above or {}, "fields": fields or {}}
         if files.write_text(self.spark, self._manifest(epoch), json.dumps(manifest)):
             return self.open(epoch)
         for kind in ("cells", "horizons"):
@@ -63,7 +64,7 @@ class Snapshots:
 
     def open(self, epoch: int) -> Image:
         m = self._read(epoch)
-        return Image(f"{self.path}/epoch={epoch:020d}", m["epoch"], {int(k): v for k, v in m["offsets"].items()}, m["cells"], m["through"], {int(k): v for k, v in m["files"].items()})
+        return Image(f"{self.path}/epoch={epoch:020d}", m["epoch"], {int(k): v for k, v in m["offsets"].items()}, m["cells"], m["through"], {int(k): v for k, v in m["files"].items()}, {int(k): v for k, v in m["fields"].items()})
 
     def latest(self) -> Image | None:
         epochs = self.epochs()

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldstore.config import StoreConfig, merge_options
+from foldstore.document import Document
 from foldstore.functions.fields import FieldType
 from foldstore.operators import lookup, maintenance
 from foldstore.operators.validation import split
@@ -55,6 +56,10 @@ class Store:
     def upsert(self, rows: DataFrame, fields: Mapping[str, FieldType]) -> int:
         return self.log.upsert(rows, fields)
 
+    def put(self, *documents: Document) -> int:
+        """Upserts of documents built one by one."""
+        return self.log.upsert_documents(documents)
+
     def delete_fields(self, rows: DataFrame, fields: Mapping[str, FieldType], names: list[str]) -> int | None:
         return self.log.delete_fields(rows, fields, names)
 
@@ -91,6 +96,25 @@ class Store:
         value = self.get(key, field)
         return None if value is None else value.decode()
 
+    def get_as(self, key, field: str, kind: FieldType):
+        """A typed value; None if it is absent or has another type."""
+        return lookup.get_as(self.state(), key, field, kind).first()["value"]
+
+    def get_int(self, key, field: str) -> int | None:
+        return self.get_as(key, field, FieldType.INT32)
+
+    def get_long(self, key, field: str) -> int | None:
+        return self.get_as(key, field, FieldType.INT64)
+
+    def get_float(self, key, field: str) -> float | None:
+        return self.get_as(key, field, FieldType.FLOAT32)
+
+    def get_double(self, key, field: str) -> float | None:
+        return self.get_as(key, field, FieldType.FLOAT64)
+
+    def get_bool(self, key, field: str) -> bool | None:
+        return self.get_as(key, field, FieldType.BOOLEAN)
+
     def multiget(self, bytes_keys: list = (), string_keys: list = (), fields: list[str] = ()) -> list[bytes | None]:
         """Values in the order of keys (bytes first), then fields."""
         keys = lookup.order_keys(bytes_keys, string_keys)
@@ -104,16 +128,25 @@ class Store:
         return lookup.wide_view(self.state(), columns)
 
     def fields(self) -> DataFrame:
-        """Registered fields of the whole log that no later drop covers."""
-        events = split(self.log.read(), self.config.primary_key)[0]
-        dropped = drops(events)
-        names = registry(events, self.config.primary_key)
+        """(log_partition, field, field_id) of the registered fields that no later drop covers.
+
+        Ids are those of the last compaction; fields met since follow in the order of their first event and name. Fields
+        are few, a schema's worth for each log partition.
+        """
+        pk, image = self.config.primary_key, self.images.latest()
+        events = split(self.log.read(image.offsets if image else None), pk)[0]
         last = writes(events).where("not deleted").groupBy("log_partition", "field").agg(F.max("off").alias("last"))
+        met = registry(events, pk).join(last, ["log_partition", "field"], "left").select("log_partition", "field", F.col("field_id").alias("rank"), F.coalesce("last", "first_offset").alias("last"))
+        schema = "log_partition int, field string, field_id int"
+        held = self.spark.createDataFrame([(p, n, k) for p, names in (image.fields if image else {}).items() for k, n in enumerate(names)], schema)
+        top = held.groupBy("log_partition").agg((F.max("field_id") + 1).alias("top"))
+        every = met.join(held, ["log_partition", "field"], "full").join(top, "log_partition", "left")
+        place = F.row_number().over(Window.partitionBy("log_partition", F.col("field_id").isNull()).orderBy("rank")) - 1
+        every = every.withColumn("field_id", F.coalesce("field_id", F.coalesce("top", F.lit(0)) + place)).withColumn("last", F.coalesce("last", F.lit(-1)))
         hit = (F.col("kind") == "name") & (F.col("field") == F.col("arg")) | (F.col("kind") == "prefix") & F.startswith("field", "arg") | (F.col("kind") == "all")
-        d = dropped.select(F.col("log_partition").alias("p"), "kind", "arg", F.col("off").alias("drop_off"))
-        live = names.join(last, ["log_partition", "field"], "left")
-        gone = live.join(d, (F.col("log_partition") == F.col("p")) & hit & (F.col("drop_off") > F.coalesce("last", "first_offset")) & (F.col("field") != self.config.primary_key), "left_semi")
-        return live.join(gone.select("log_partition", "field"), ["log_partition", "field"], "left_anti").select("log_partition", "field", "field_id")
+        d = drops(events).select(F.col("log_partition").alias("p"), "kind", "arg", F.col("off").alias("drop_off"))
+        gone = every.join(d, (F.col("log_partition") == F.col("p")) & hit & (F.col("drop_off") > F.col("last")) & (F.col("field") != pk), "left_semi")
+        return every.join(gone.select("log_partition", "field"), ["log_partition", "field"], "left_anti").select("log_partition", "field", F.col("field_id").cast("int"))
 
     def create_views(self, columns: Mapping[str, FieldType] | None = None, prefix: str = "") -> None:
         """Temporary views for SQL: <prefix>events, <prefix>state and, with columns, <prefix>wide."""
@@ -143,7 +176,10 @@ class Store:
         cleared = drops(since).where("kind = 'all'").select("log_partition", F.col("off").alias("all_off"))
         written = written.join(cleared, "log_partition", "left").where("off > coalesce(all_off, -1)").drop("all_off")
         before = maintenance.sizes(written).first()
-        published = self.images.publish(live, epoch if epoch is not None else int(time.time() * 1000), self.log.end_of(through), deleted=deleted, through=through)
+        fields: dict[int, list[str]] = {}
+        for row in maintenance.renumbered(self.fields()).orderBy("log_partition", "field_id").collect():
+            fields.setdefault(row["log_partition"], []).append(row["field"])
+        published = self.images.publish(live, epoch if epoch is not None else int(time.time() * 1000), self.log.end_of(through), deleted=deleted, through=through, fields=fields)
         after = maintenance.sizes(self.images.cells(self.images.latest())).first()
         return published, {f"{n}_{when}": row[n] for when, row in (("before", before), ("after", after)) for n in ("cells", "documents", "bytes")}
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foldstore.functions import codec
 from foldstore.functions.fields import FieldType, decode, encode
+from foldstore.sources import wire
 
 
 @given(st.lists(st.one_of(st.none(), st.binary(max_size=20))))
@@ -55,3 +56,47 @@ def test_arguments():
     with pytest.raises(ValueError):
         codec.require_name(" ", "field")
     assert len(codec.key_digest("secret")[0]) == 44
+
+
+NAMES = st.text(max_size=12)
+CELLS = st.dictionaries(NAMES, st.tuples(st.integers(0, 7), st.binary(max_size=30)), max_size=5)
+
+
+@given(st.integers(0, 2**64 - 1), st.binary(max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_varints(n, rest):
+    b = codec.varint(n)
+    assert codec.read_varint(b + rest) == (n, len(b)) and len(b) == max(1, -(-n.bit_length() // 7))
+    with pytest.raises(ValueError):
+        codec.read_varint(b[:-1])
+
+
+@given(st.sampled_from(["upsert", "delete_fields", "delete_doc", "drop"]), CELLS, st.lists(NAMES, max_size=4), st.lists(NAMES, max_size=3), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_events_on_the_wire(op, doc, fields, prefixes, everything):
+    got = wire.decode_event(wire.encode_event(op, doc, fields, prefixes, everything))
+    drop = op == "drop"
+    assert got == (op, {} if drop else doc, fields if drop or op == "delete_fields" else [], prefixes if drop else [], everything and drop)
+
+
+def test_events_of_other_writers():
+    # A header comes first, and a field that isn't known in between; an upsert of {"a": INT32 7}.
+    cell = bytes([0x08, 1, 0x12, 4, 7, 0, 0, 0])
+    entry = b"\x0a\x01a\x12" + bytes([len(cell)]) + cell
+    document = b"\x0a" + bytes([len(entry)]) + entry
+    event = b"\x0a\x02\x0a\x00" + b"\x7d\x01\x02\x03\x04" + b"\x12" + bytes([len(document) + 2, 0x0A, len(document)]) + document
+    assert wire.decode_event(event) == ("upsert", {"a": (1, b"\x07\0\0\0")}, [], [], False)
+    assert wire.decode_event(b"")[0] == "noop" and wire.decode_event(b"\x12\x7f")[0] == "damaged" and wire.decode_event(b"\xff")[0] == "damaged"
+    assert wire.decode_event(b"\x2a\x02\x18\x01") == ("drop", {}, [], [], True)
+
+
+def test_columns_of_pass_keys(spark):
+    key, digest = codec.key_digest_columns(F.col("k"))
+    for r in spark.createDataFrame([("secret",), ("x",), ("a" * 40,)], "k string").select("k", key.alias("a"), digest.alias("b")).collect():
+        assert (r.a, r.b) == codec.key_digest(r.k)
+
+
+def test_floats_that_are_not_numbers(spark):
+    df = spark.createDataFrame([(0, float("nan")), (1, float("inf")), (2, None), (3, -0.0)], "i int, v double")
+    got = df.select("i", decode(encode("v", FieldType.FLOAT64), FieldType.FLOAT64).alias("b")).orderBy("i").collect()
+    assert got[1].b == float("inf") and got[2].b is None and str(got[3].b) == "-0.0"

@@ -1,14 +1,20 @@
-"""The store end to end: writers, readers, drops, images, streaming."""
+"""The store end to end: writers, readers, drops, images, streaming.
+
+Names of users and expected values of the first tests follow FIXTURES.md, A4 and A5.
+"""
 
 import pytest
 from pyspark.sql import functions as F
 
 from foldstore.config import ConfigBuilder, StoreConfig, merge_options
+from foldstore.document import Document
 from foldstore.functions.fields import FieldType
+from foldstore.sources.event_log import RAW
 from foldstore.store import Store
 
 S, I, B = FieldType.STRING, FieldType.INT32, FieldType.BYTES
 USER = {"userid": S, "firstname": S, "city": S}
+SCHEMA = RAW
 
 
 @pytest.fixture
@@ -150,3 +156,113 @@ def test_config():
     for bad in ({"account": " "}, {"partitions": 0}, {"options": {"log_level": "loud"}}):
         with pytest.raises(ValueError):
             StoreConfig(**({"account": "a", "store": "s", "primary_key": "id"} | bad))
+
+
+def test_documents_of_the_builder_and_typed_getters(store):
+    store.put(
+        Document().put_string("userid", "1").put_int("age", -5).put_long("big", 2**40).put_float("f", 1.5).put_double("d", -0.1).put_bool("yes", True).put_bytes("raw", b"\0\xff"),
+        Document().put_string("userid", "2").put_int("age", 7).put_int("age", 8),
+    )
+    assert [store.get_int("1", "age"), store.get_long("1", "big"), store.get_float("1", "f"), store.get_double("1", "d"), store.get_bool("1", "yes"), store.get("1", "raw")] == [-5, 2**40, 1.5, -0.1, True, b"\0\xff"]
+    assert store.get_int("2", "age") == 8 and store.get_int("1", "big") is None and store.get_long("3", "big") is None
+    for bad in (lambda: Document().put_int("a", "1"), lambda: Document().put_int("a", True), lambda: Document().put_string("a", b"x"), lambda: Document().put_bool("a", 1)):
+        with pytest.raises(TypeError):
+            bad()
+    with pytest.raises(ValueError):
+        Document().put_string(" ", "x")
+
+
+def test_compaction_sizes_follow_the_store(store):
+    put(store, *({"userid": str(i), "firstname": "x"} for i in range(50)))
+    assert store.compact(epoch=1)[1]["cells_after"] == 100
+    store.drop_all()
+    assert [store.compact(epoch=2)[1][k] for k in ("cells_before", "documents_before", "bytes_before", "cells_after")] == [0, 0, 0, 0]
+
+
+def test_fields_are_numbered_anew(store):
+    put(store, {"userid": "1", "firstname": "a", "city": "b"})
+    ids = lambda: {r.field: r.field_id for r in store.fields().collect()}
+    assert ids() == {"userid": 0, "city": 1, "firstname": 2}
+    store.drop_fields(["city"])
+    store.upsert(store.spark.createDataFrame([("1", "n")], "userid string, nick string"), {"userid": S, "nick": S})
+    assert ids() == {"userid": 0, "firstname": 2, "nick": 3}
+    store.compact(epoch=1)
+    assert ids() == {"userid": 0, "firstname": 1, "nick": 2}
+    store.upsert(store.spark.createDataFrame([("1", "c")], "userid string, city string"), {"userid": S, "city": S})
+    assert ids() == {"userid": 0, "firstname": 1, "nick": 2, "city": 3}
+    store.drop_all()
+    assert ids() == {"userid": 0}
+
+
+def live(store):
+    return sorted((bytes(r.pk), r.field, bytes(r.value)) for r in store.live.cells(store.live.latest()).collect())
+
+
+def full(store):
+    from foldstore.operators.validation import split
+    from foldstore.plans.fold import fold
+
+    return sorted((bytes(r.pk), r.field, bytes(r.value)) for r in fold(split(store.log.read(), "userid")[0], "userid").collect())
+
+
+def test_events_are_neither_lost_nor_brought_back(store, tmp_path):
+    put(store, *({"userid": str(i), "firstname": "x"} for i in range(4)))
+    store.delete_documents(keys(store, "1"), USER)
+    store.drop_fields(["city"])
+    m = store.maintainer()
+    m.catch_up(f"file://{tmp_path}/a")
+    assert live(store) == full(store)
+    first = store.live.latest().epoch
+    put(store, *({"userid": str(i), "firstname": "y", "city": "c"} for i in range(3, 6)))
+    m.catch_up(f"file://{tmp_path}/b", max_files=1)  # the checkpoint is lost: everything comes again
+    assert live(store) == full(store) and store.live.latest().epoch > first
+    last = store.live.latest().epoch
+    m.catch_up(f"file://{tmp_path}/c")  # nothing new
+    assert store.live.latest().epoch == last
+    # Files of later commits come before those of earlier ones.
+    put(store, {"userid": "7", "firstname": "late"}, {"userid": "8", "firstname": "late"})
+    put(store, {"userid": "7", "firstname": "later"})
+    a, b = (store.spark.read.schema(SCHEMA).parquet(f"{store.log.path}/commits/{c}").withColumn("log_file", F.col("_metadata.file_path")) for c in store.log.commits()[-2:])
+    m._merge(b, 0)
+    assert store.get_string("8", "firstname") == "late"  # readers take from the log what the image can't claim
+    m._merge(a, 0)
+    assert live(store) == full(store) and store.live.latest().through == int(store.log.commits()[-1])
+
+
+def test_a_rival_for_an_epoch(store, tmp_path, monkeypatch):
+    put(store, {"userid": "1", "firstname": "a"})
+    m, publish, calls = store.maintainer(), store.live.publish, []
+
+    def slow(*args, **kw):
+        if not calls:
+            calls.append(1)
+            put(store, {"userid": "2", "firstname": "b"})
+            store.maintainer().catch_up(f"file://{tmp_path}/rival")
+        return publish(*args, **kw)
+
+    monkeypatch.setattr(m.images, "publish", slow)
+    m.catch_up(f"file://{tmp_path}/mine")
+    assert calls and live(store) == full(store)
+
+
+def test_following_stops_and_goes_on(store, tmp_path):
+    put(store, {"userid": "1", "firstname": "a"})
+    m = store.maintainer()
+    running = m.follow(f"file://{tmp_path}/cp", every="100 milliseconds")
+    put(store, {"userid": "2", "firstname": "b"})
+    running.processAllAvailable()
+    running.stop()
+    assert live(store) == full(store)
+    put(store, {"userid": "3", "firstname": "c"})
+    m.catch_up(f"file://{tmp_path}/cp")
+    assert live(store) == full(store)
+
+
+def test_reads_skip_what_an_image_has(store):
+    for k in range(4):
+        put(store, {"userid": str(k), "firstname": "x"})
+    image, _ = store.compact(epoch=1)
+    put(store, {"userid": "9", "firstname": "x"})
+    tail = store.log.read(image.offsets)
+    assert tail.count() == 1 and len({f.split("/")[-2] for f in tail.inputFiles()}) == 1
+    assert store.log.read(3).count() == 5 and store.log.read().count() == 5
