@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-A tree of k-means splits is grown on a bounded sample (``SAMPLE`` vectors, those with the smallest hash); every vector
-is then sent down to its nearest leaf, so the index holds all rows. A query walks the tree best bin first: a priority
+A tree of k-means splits is grown on a bounded sample (``SAMPLE`` vectors and ``SAMPLE_BYTES``, those with the smallest
+hash); every vector is then sent down to its nearest leaf, so the index holds all rows. Leaves grow in number with the
+rows, one for each ``ROWS_PER_LEAF``, as long as the sample has ``LEAF`` vectors for each; beyond that they grow in size,
+and a second tree within each leaf would be the next step. A query walks the tree best bin first: a priority
 queue holds the branches seen so far by their distance from the query, and the nearest is always opened next. How
 many leaves are visited is calibrated: for ``CALIBRATION`` vectors the true neighbours are found among all rows, in
 blocks, and the number of visits is widened until the leaves visited hold the wanted share of them.
@@ -10,8 +12,8 @@ Candidates in visited leaves are compared by their exact distance. A leaf of man
 is dealt into blocks of bounded size. Equal vectors are one entry with their smallest ids, as many as any answer can
 name, so that a vector that a third of all rows share costs no more than another.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components neither
-ask nor answer; rows with a null id take no part; ties go to the smaller id; repeated rows count once; an id with
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components neither ask nor answer; vectors
+of several lengths are searched apart, each among those of its own; rows with a null id take no part; ties go to the smaller id; repeated rows count once; an id with
 several vectors asks and answers with the nearest of them; with fewer candidates than neighbours all are returned.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,9 +33,9 @@ from pyspark.sql import types as T
 
 from foldstore.llm.runtime import cut, small_batches
 
-SAMPLE = 131_072
-#: About so many leaves, of so many sample vectors at least; a split has so many branches.
-LEAVES, LEAF, BRANCHES, ROUNDS = 192, 64, 16, 8
+SAMPLE, SAMPLE_BYTES = 131_072, 64 << 20
+#: Rows of a leaf, about, and its sample vectors at least; a split has so many branches.
+ROWS_PER_LEAF, LEAF, BRANCHES, ROUNDS = 256, 16, 16, 8
 CALIBRATION, RECALL = 256, 0.95
 #: Rows and queries of one block of a leaf.
 ROWS, QUERIES = 4096, 8192
@@ -97,9 +100,8 @@ def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return squared(x, centres).argmin(1)
 
 
-def grow(sample: np.ndarray, leaf_size: int | None = None, branches: int = BRANCHES) -> Tree:
+def grow(sample: np.ndarray, leaf_size: int = ROWS_PER_LEAF, branches: int = BRANCHES) -> Tree:
     """A tree whose leaves hold ``leaf_size`` sample vectors at most, unless these are equal."""
-    leaf_size = leaf_size or max(LEAF, len(sample) // LEAVES)
     centres, first, fan, leaf = [sample.mean(0)], [0], [0], [-1]
     work = [(0, np.arange(len(sample)))]
     leaves = 0
@@ -133,8 +135,7 @@ def valid(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     v = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")).where(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     )
-    lengths = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return v.where(F.size("vector") == (lengths["n"] if lengths else 0)).withColumn("hash", F.xxhash64("vector"))
+    return v.withColumn("hash", F.xxhash64("vector"))
 
 
 def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,12 +168,12 @@ def _nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k:
     return join(places, np.int64), join(found, np.int64), join(away, np.float64)
 
 
-def visits(tree: Tree, index: DataFrame, k: int, recall: float = RECALL) -> int:
-    """Leaves to visit so that the calibration vectors find the wanted share of their true neighbours."""
+def visits(tree: Tree, index: DataFrame, k: int, recall: float = RECALL) -> tuple[int, float]:
+    """Leaves to visit so that the calibration vectors find the wanted share of their true neighbours, and the share found."""
     spark = index.sparkSession
     some = index.orderBy(F.xxhash64("vec_id", "hash"), "vec_id").limit(CALIBRATION).select("vec_id", "vector").toArrow()
     if not some.num_rows:
-        return 1
+        return 1, 1.0
     q, own = matrix(some["vector"].combine_chunks()), some["vec_id"].to_numpy()
     shared = spark.sparkContext.broadcast((q, own))
 
@@ -199,7 +200,7 @@ def visits(tree: Tree, index: DataFrame, k: int, recall: float = RECALL) -> int:
     n = 1
     while n < tree.leaves and (place < n).mean() < recall:
         n = min(tree.leaves, max(n + 1, n * 5 // 4))
-    return n
+    return n, float((place < n).mean()) if len(place) else 1.0
 
 
 def _with_leaf(df: DataFrame) -> T.StructType:
@@ -207,17 +208,28 @@ def _with_leaf(df: DataFrame) -> T.StructType:
 
 
 def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each row for whose vec_id the column ``is_query`` holds."""
+    """query_id, rank, vec_id, score: the k nearest rows found for each row for whose vec_id the column ``is_query`` holds;
+    and recall, the share of true neighbours that the calibration vectors found."""
     spark = rows.sparkSession
     small_batches(spark, 4096)
-    out = "query_id long, rank int, vec_id long, score double"
     every = valid(rows, vec_id, vector)
+    # A row for each length of vectors; nearly always there is one.
+    lengths = [r["n"] for r in every.select(F.size("vector").alias("n")).distinct().orderBy("n").toLocalIterator()]
+    found = [_search(every.where(F.size("vector") == n) if len(lengths) > 1 else every, is_query, k, recall, n) for n in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], RESULT)
+
+
+RESULT = "query_id long, rank int, vec_id long, score double, recall double"
+
+
+def _search(every: DataFrame, is_query, k: int, recall: float, length: int) -> DataFrame:
+    """The search among valid vectors (vec_id, vector, hash) of one length."""
+    spark = every.sparkSession
     same = Window.partitionBy("hash", "vector").orderBy("vec_id")
     entries = cut(every.withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= k + 1).select("vec_id", "vector", "hash").dropDuplicates(["hash", "vector", "vec_id"]), "ann-entries")
-    sample = entries.orderBy("hash", "vec_id").limit(SAMPLE).select("vector").toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], out)
-    tree = grow(matrix(sample["vector"].combine_chunks()))
+    n = entries.count()
+    sample = entries.orderBy("hash", "vec_id").limit(min(SAMPLE, SAMPLE_BYTES // (8 * length))).select("vector").toArrow()
+    tree = grow(matrix(sample["vector"].combine_chunks()), max(LEAF, sample.num_rows * ROWS_PER_LEAF // n))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +241,9 @@ def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", ve
     count = np.zeros(tree.leaves, np.int64)
     for leaf, n in index.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
         count[leaf] = n
-    width = visits(tree, index, k, recall)
+    width, reached = visits(tree, index, k, recall)
     held = spark.sparkContext.broadcast((count, width))
+    enough = max(ENOUGH, 2 * k)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, (count, width) = shared.value, held.value
@@ -239,7 +252,7 @@ def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", ve
             for j in range(len(x)):
                 seen = 0
                 for n, leaf in enumerate(tree.best_bins(x[j])):
-                    if n >= width and seen >= ENOUGH:
+                    if n >= width and seen >= enough:
                         break
                     seen += count[leaf]
                     at.append(j)
@@ -269,4 +282,4 @@ def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", ve
     found = left.groupBy("leaf", "r", "a").cogroup(right.groupBy("leaf", "r", "a")).applyInArrow(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.lit(reached).alias("recall"))

@@ -11,7 +11,9 @@ fixed size. Profiles come from the counts of all learnable documents, no sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any learnable document so is
 everything; a text that shares no n-gram with any profile gets the first language and score 1/number of languages;
-ranks of equally frequent n-grams follow the n-gram's number; repeated rows each count and are each predicted.
+ranks of equally frequent n-grams follow the n-gram's number; repeated rows each count and are each predicted; very long
+texts are read whole, one at a time; of equally near languages the first by name wins; an empty table gives no rows;
+kept columns named lang_pred, lang_score or lang_away give way to the results.
 """
 
 from __future__ import annotations
@@ -85,13 +87,17 @@ def ranked(x: np.ndarray, most: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
-    """Rank of each n-gram in each language, PROFILE where it has none."""
+    """The profiles by n-gram: where each is ranked, and at which rank. Memory follows the profiles, not languages times n-grams."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        self.rank = np.full((ALL_GRAMS, len(self.langs)), PROFILE, np.int16)
-        for k, lang in enumerate(self.langs):
-            self.rank[profiles[lang], k] = np.arange(len(profiles[lang]))
+        lang = np.concatenate([np.full(len(profiles[x]), k) for k, x in enumerate(self.langs)]) if self.langs else np.zeros(0, np.int64)
+        gram = np.concatenate([np.asarray(profiles[x], np.int64) for x in self.langs]) if self.langs else np.zeros(0, np.int64)
+        rank = np.concatenate([np.arange(len(profiles[x])) for x in self.langs]) if self.langs else np.zeros(0, np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.lang, self.rank = lang[order], rank[order]
+        self.gram, self.first = np.unique(gram[order], return_index=True)
+        self.many = np.diff(np.append(self.first, len(gram)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.measure(text)[:2]
@@ -101,9 +107,13 @@ class Profiles:
         top = ranked(numbers(text)) if text else np.zeros(0, np.int32)
         if not len(top) or not self.langs:
             return UNKNOWN, 0.0, 1.0
-        theirs = self.rank[top].astype(np.int32)
-        place = np.arange(len(top), dtype=np.int32)[:, None]
-        away = np.where(theirs == PROFILE, PROFILE, np.abs(theirs - place)).sum(0)
+        at = np.minimum(np.searchsorted(self.gram, top), len(self.gram) - 1)
+        place = np.flatnonzero(self.gram[at] == top)
+        many = self.many[at[place]]
+        # Of every shared n-gram and language: how much nearer it is than one that the profile lacks.
+        each = np.repeat(self.first[at[place]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        nearer = PROFILE - np.abs(self.rank[each] - np.repeat(place, many))
+        away = PROFILE * len(top) - np.bincount(self.lang[each], nearer, len(self.langs))
         best = int(away.argmin())
         near = np.exp(-SHARPNESS * (away - away[best]) / (PROFILE * len(top)))
         return self.langs[best], float(1 / near.sum()), float(away[best] / (PROFILE * len(top)))
@@ -155,6 +165,7 @@ def measure(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]) ->
     """As ``predict``, with the relative distance to the language as lang_away."""
     spark = docs.sparkSession
     small_batches(spark)
+    keep = [k for k in keep if k not in ("lang_pred", "lang_score", "lang_away")]
     shared = spark.sparkContext.broadcast(profiles)
     whole = docs.select(*keep, F.col("text").alias("lang_text"))
 
