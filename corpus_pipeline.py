@@ -57,7 +57,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reads every document once at least and documents of small sources again, as the weights say."""
+    """Reads every document of a source that has tokens once at least, and those of small sources again, as the weights
+    say; a source without a token has no weight and goes."""
     return mixing.apply_mixture(_carried(docs, "doc_id", "text", "source"), entropy_share=None, max_repeats=MOST_REPEATS, cover=True, seed=7).select("row.*")
 
 
