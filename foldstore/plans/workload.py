@@ -283,7 +283,7 @@ def kv_feature_join(spark, sf_dir):
     return joined.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
 
 
-@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings WHERE vec_id % 5 = 0")
+@query("SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, CAST(embedding[p] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings WHERE vec_id % 5 = 0)")
 def kv_embedding_multiget(spark, sf_dir):
     """Array-valued features stay arrays."""
     e = read(spark, sf_dir, "embeddings")
@@ -291,7 +291,7 @@ def kv_embedding_multiget(spark, sf_dir):
     state = e.select(F.lit(0).alias("log_partition"), F.col("vec_id").alias("pk"), F.lit("embedding").alias("field"), c["type"].alias("type"), c["value"].alias("value"), F.lit(0).cast("bigint").alias("off"))
     keys = e.where("vec_id % 5 = 0").select(F.lit(0).alias("kpos"), F.col("vec_id").alias("pk"))
     found = lookup.multiget(state, keys, ["embedding"])
-    return found.select(F.col("pk").alias("vec_id"), F.size("value").alias("n"), F.col("value")[0].cast("double").alias("first"))
+    return found.select(F.col("pk").alias("vec_id"), F.posexplode("value").alias("pos", "v")).select("vec_id", "pos", F.col("v").cast("double").alias("value"))
 
 
 @query(
@@ -349,12 +349,16 @@ def kv_offset_bounds(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT CAST(user_id % 4 AS INTEGER) AS p, min(event_id) AS low FROM events GROUP BY 1)
-       SELECT p AS log_partition, CASE WHEN p < 2 AND 5 * p + 50 >= low THEN CAST(5 * p + 50 AS BIGINT) ELSE low END AS start FROM b"""
+    """WITH b AS (SELECT CAST(user_id % 4 AS INTEGER) AS p, min(event_id) AS low FROM events GROUP BY 1),
+       s AS (SELECT CAST(user_id % 4 AS INTEGER) AS p, CASE WHEN user_id % 4 = 2 THEN min(event_id) - 100000 ELSE max(event_id) END AS off FROM events WHERE event_type = 'click' AND user_id % 4 < 3 GROUP BY user_id % 4)
+       SELECT b.p AS log_partition, CASE WHEN s.off >= b.low THEN s.off ELSE b.low END AS start FROM b LEFT JOIN s USING (p)"""
 )
 def kv_start_offsets(spark, sf_dir):
-    stored = spark.range(2).select(F.col("id").cast("int").alias("log_partition"), (F.col("id") * 5 + 50).alias("off"))
-    return maintenance.start_offsets(maintenance.offset_bounds(event_log(spark, sf_dir, parts=4)), stored)
+    """Stored are the last clicks of two log partitions, an offset that the log no longer has of a third, and none of a fourth."""
+    log = event_log(spark, sf_dir, parts=4)
+    clicks = log.where("map_contains_key(doc, 'click') and log_partition < 3").groupBy("log_partition").agg(F.max("log_offset").alias("last"), F.min("log_offset").alias("first"))
+    stored = clicks.select("log_partition", F.when(F.col("log_partition") == 2, F.col("first") - 100_000).otherwise(F.col("last")).alias("off"))
+    return maintenance.start_offsets(maintenance.offset_bounds(log), stored)
 
 
 @query("SELECT 0 AS log_partition, event_id AS off FROM events WHERE (event_id + 1) % 100 = 0")
@@ -362,35 +366,36 @@ def kv_commit_points(spark, sf_dir):
     return maintenance.commit_points(event_log(spark, sf_dir))
 
 
-IMAGES = ["acct/store/1/1000", "acct/store/1/900", "acct/store/10/5000", "acct/store/2/70", "acct/other/1/80", "acct/store/1/notes"]
-
-
 @query(
-    "SELECT split_part(path, '/', 1) AS account, split_part(path, '/', 2) AS store, CAST(split_part(path, '/', 3) AS INTEGER) AS partition, max(CAST(split_part(path, '/', 4) AS BIGINT)) AS epoch, "
-    "arg_max(path, CAST(split_part(path, '/', 4) AS BIGINT)) AS path FROM (VALUES " + ", ".join(f"('{p}')" for p in IMAGES[:-1]) + ") t(path) GROUP BY 1, 2, 3"
+    "SELECT 'acct' AS account, 'store' || o_custkey % 3 AS store, CAST(o_orderkey % 4 AS INTEGER) AS partition, max(CAST(o_orderkey AS BIGINT)) AS epoch, "
+    "'acct/store' || o_custkey % 3 || '/' || o_orderkey % 4 || '/' || max(CAST(o_orderkey AS BIGINT)) AS path FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY o_custkey % 3, o_orderkey % 4"
 )
 def kv_latest_image(spark, sf_dir):
-    return maintenance.latest_image(spark.createDataFrame([(p,) for p in IMAGES], "path string"))
+    """Paths named after orders; those that don't end in a number aren't images."""
+    k = F.col("o_orderkey")
+    path = codec.image_path(F.lit("acct"), F.concat(F.lit("store"), F.col("o_custkey") % 3), k % 4, F.when(k % 9 == 0, F.concat(k, F.lit("notes"))).otherwise(k.cast("string")))
+    return maintenance.latest_image(read(spark, sf_dir, "orders").select(path.alias("path")))
 
 
 DAY = 86_400_000
-AGES = [(None, 1, True), (0, 1, True), (8, 1, True), (8, 9, True), (6, 1, True), (1, 0, False), (7, 6, True), (8, None, True)]
 
 
 @query(
-    "SELECT CAST(i AS INTEGER) AS i, coalesce(l IS NULL OR l = 0 OR (l >= 7 AND r < 7) OR NOT v, false) AS refresh FROM (VALUES "
-    + ", ".join(f"({i}, {'NULL' if a is None else a}, {'NULL' if b is None else b}, {v})" for i, (a, b, v) in enumerate(AGES)) + ") t(i, l, r, v)"
+    "SELECT o_orderkey, coalesce(l IS NULL OR l = 0 OR (l >= 7 AND r < 7) OR NOT v, false) AS refresh FROM "
+    "(SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 11 END AS l, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_custkey % 10 END AS r, o_orderkey % 13 <> 0 AS v FROM orders)"
 )
 def kv_staleness(spark, sf_dir):
-    now = 1_000 * DAY
-    at = lambda d: None if d is None else 0 if d == 0 else now - d * DAY
-    rows = spark.createDataFrame([(i, at(a), None if b is None else now - b * DAY, v) for i, (a, b, v) in enumerate(AGES)], "i int, l bigint, r bigint, v boolean")
-    return rows.select("i", maintenance.stale(F.col("l"), F.col("r"), F.lit(now), F.col("v")).alias("refresh"))
+    """Ages in days, 0 for no image, from the keys of orders."""
+    now, k = F.lit(1_000 * DAY), F.col("o_orderkey")
+    local = F.when(k % 17 == 0, None).when(k % 11 == 0, 0).otherwise(now - k % 11 * DAY)
+    remote = F.when(k % 19 == 0, None).otherwise(now - F.col("o_custkey") % 10 * DAY)
+    return read(spark, sf_dir, "orders").select("o_orderkey", maintenance.stale(local.cast("bigint"), remote.cast("bigint"), now, k % 13 != 0).alias("refresh"))
 
 
-@query("SELECT '0.10.2' AS version")
+@query("SELECT p_size || '.' || p_partkey % 20 || '.' || p_partkey % 7 AS version FROM part ORDER BY p_size DESC, p_partkey % 20 DESC, p_partkey % 7 DESC LIMIT 1")
 def kv_semver_max(spark, sf_dir):
-    return maintenance.newest_version(spark.createDataFrame([(v,) for v in ("0.9.12", "0.10.2", "0.10.1", "0.2.30")], "version string"))
+    k = F.col("p_partkey")
+    return maintenance.newest_version(read(spark, sf_dir, "part").select(F.concat_ws(".", "p_size", k % 20, k % 7).alias("version")))
 
 
 @query(
@@ -415,11 +420,14 @@ def kv_segment_histogram(spark, sf_dir):
     return read(spark, sf_dir, "customer").groupBy(codec.shard(F.col("c_custkey").cast("string"), 16).alias("shard")).agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("SELECT * FROM (VALUES ('batch', '200'), ('log_level', 'debug'), ('primary_key', 'id'), ('topic', 'events')) t(name, value)")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation WHERE n_nationkey % 5 <> 4 OR n_nationkey % 2 = 0")
 def kv_config_merge(spark, sf_dir):
+    """Options named after nations: the server has four of five, the client every second one."""
     from foldstore.config import merge_options
 
-    merged = merge_options({"primary_key": "id", "log_level": "info", "topic": "events"}, {"log_level": "debug", "batch": 200})
+    nations = read(spark, sf_dir, "nation").collect()
+    server = {r.n_name: str(r.n_regionkey) for r in nations if r.n_nationkey % 5 != 4}
+    merged = merge_options(server, {r.n_name: r.n_name.lower() for r in nations if r.n_nationkey % 2 == 0})
     return spark.createDataFrame([(k, str(v)) for k, v in merged.items()], "name string, value string")
 
 
