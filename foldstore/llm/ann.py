@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldstore.llm.runtime import cut, small_batches
+from foldstore.llm.runtime import clearing, cut, small_batches
 
 SAMPLE, SAMPLE_BYTES = 131_072, 64 << 20
 #: Rows of a leaf, about, and its sample vectors at least; a split has so many branches.
@@ -207,6 +207,7 @@ def _with_leaf(df: DataFrame) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField("leaf", T.IntegerType())])
 
 
+@clearing
 def search(rows: DataFrame, is_query, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row for whose vec_id the column ``is_query`` holds;
     and recall, the share of true neighbours that the calibration vectors found."""

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldstore.llm import hashing
-from foldstore.llm.runtime import cut, passing, small_batches
+from foldstore.llm.runtime import clearing, cut, passing, small_batches
 
 WORDS = 5
 #: Links at 100 * intersection >= PERCENT * union.
@@ -427,6 +427,7 @@ def _several(regions: DataFrame, label: DataFrame, what: str) -> DataFrame:
     return classed.join(mixed, "pivot")
 
 
+@clearing
 def join(docs: DataFrame, digest: Callable[[np.ndarray], tuple[int, int]] = content_hash) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     spark: SparkSession = docs.sparkSession

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldstore.llm.runtime import cut
+from foldstore.llm.runtime import clearing, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Points at which one round of the bisection looks: eight halvings of the interval.
@@ -153,6 +153,7 @@ def _slim(docs: DataFrame, tokens: Column, source: str, doc: str) -> DataFrame:
     return cut(docs.select(F.col(source).alias("mix_source"), F.col(doc).alias("mix_doc"), tokens.alias("mix_tok")), "mix-rows")
 
 
+@clearing
 def schedule(docs: DataFrame, *, source: str = "source", doc: str = "doc_id", text: str = "text", seed: int = 0, per_slice: int = 20_000, **limits) -> DataFrame:
     """Every scheduled reading: source, block (from 0), position (from 1 in its block), doc_id, tokens, weight.
 
@@ -173,6 +174,7 @@ def schedule(docs: DataFrame, *, source: str = "source", doc: str = "doc_id", te
     return found.select(F.col("mix_source").alias("source"), F.col("mix_block").cast("int").alias("block"), F.col("mix_pos").alias("position"), F.col("mix_doc").alias("doc_id"), F.col("mix_tok").alias("tokens"), "weight")
 
 
+@clearing
 def apply_mixture(docs: DataFrame, *, source: str = "source", doc: str = "doc_id", text: str = "text", seed: int = 0, per_slice: int = 20_000, **limits) -> DataFrame:
     """The rows of ``docs``, each as often as the schedule reads it; texts are never shuffled.
 

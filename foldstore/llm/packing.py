@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstore.llm.runtime import cut, scratch, small_batches
+from foldstore.llm.runtime import clearing, cut, scratch, small_batches
 
 CAPACITY = 2048
 BLOCK = 8192
@@ -278,6 +278,7 @@ def _packed(rows: DataFrame, blocks: int, capacity: int, seed: int) -> DataFrame
     return rows.withColumn("block", block).groupBy("block").applyInPandas(lambda df: pack_block(df, capacity), PIECES + ", block long, bin long, offset long, fill long")
 
 
+@clearing
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession

@@ -8,19 +8,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; on a session that names none, the warehouse (cluster) or the temporary folder (local)."""
+    """The shared folder; only a local session may go without one, and has its temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         return f"file://{tempfile.gettempdir()}/foldstore-scratch"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("the cluster names no shared folder in spark.checkpoint.dir")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -46,10 +47,31 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+#: Working tables of the operators that are running, innermost last.
+_made: list[str] = []
+
+
+def clearing(operator):
+    """An operator whose working tables go when it returns, but for those that its result still reads."""
+
+    @wraps(operator)
+    def run(*args, **kw):
+        first = len(_made)
+        out = operator(*args, **kw)
+        read = {part for f in (out.inputFiles() if isinstance(out, DataFrame) else ()) for part in f.split("/")[-2:-1]}
+        made, _made[first:] = _made[first:], []
+        spark = SparkSession.getActiveSession()
+        remove(spark, *(path for path in made if path.rpartition("/")[2] not in read))
+        return out
+
+    return run
+
+
 def cut(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one computation, no lineage behind it."""
     spark = df.sparkSession
     path = path or scratch(spark, what)
+    _made.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
