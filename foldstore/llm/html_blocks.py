@@ -23,7 +23,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foldstore.llm.runtime import small_batches
+from foldstore.llm.runtime import small_batches, tidy
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -305,4 +305,4 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
             texts = [main_text(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 
-    return whole.mapInArrow(run, whole.drop("html_page").schema.add("text", "string").add("n_chars", "long"))
+    return whole.mapInArrow(tidy(run), whole.drop("html_page").schema.add("text", "string").add("n_chars", "long"))

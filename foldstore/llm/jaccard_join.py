@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldstore.llm import hashing
-from foldstore.llm.runtime import clearing, cut, passing, small_batches
+from foldstore.llm.runtime import clearing, cut, give_back, passing, small_batches, tidy
 
 WORDS = 5
 #: Links at 100 * intersection >= PERCENT * union.
@@ -59,9 +59,9 @@ COUNT_BITS, PIVOT_BITS = 40, 56
 #: A task reports shingles that it counted so often; in all, those that reach the second number are frequent, and so many of them are told apart.
 REPORTED, FREQUENT, MOST_FREQUENT = 2, 8, 1 << 20
 #: Shingles that a task counts, and replicas that it gathers, before it hands them on.
-COUNTED_AT_ONCE, REPLICAS_AT_ONCE = 2_000_000, 1_000_000
+COUNTED_AT_ONCE, REPLICAS_AT_ONCE = 1_000_000, 500_000
 #: Replicas of one bucket of regions, about.
-BUCKET = 500_000
+BUCKET = 300_000
 #: Leaders, of those that share most pivots with it, among which a document looks for the nearest.
 LEADERS = 3
 #: Documents of a region that is divided again, how often that is done, and into how many.
@@ -197,7 +197,7 @@ def _measure(docs: DataFrame, digest: Callable[[np.ndarray], tuple[int, int]]) -
         if held:
             yield counted(held)
 
-    return docs.mapInArrow(run, MEASURED)
+    return docs.mapInArrow(tidy(run), MEASURED)
 
 
 def _order(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def _replicate(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], names:
                 node = names(s)
                 if node in done:  # a copy within the task
                     continue
-                if len(done) < 1_000_000:
+                if len(done) < 300_000:
                     done.add(node)
                 p, c = in_order(s, order)
                 share = np.maximum(1, (1 << c.astype(np.int64)) // PART)
@@ -293,7 +293,7 @@ def _replicate(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], names:
         if held:
             yield blocks(held)
 
-    return docs.mapInArrow(run, "bucket long, block binary")
+    return docs.mapInArrow(tidy(run), "bucket long, block binary")
 
 
 REGIONS = "pivot long, part int, node long, n long, pos int, leader long, nl long, drawn int"
@@ -343,6 +343,7 @@ def _gather(table: pa.Table) -> pa.Table:
         joined(column("node", y), column("node", k)), joined(column("n", y), column("n", k)), joined(none(pa.int32()), pa.array(np.ascontiguousarray(rows["pos"][k]))),
         joined(column("node", x), column("node", head)), joined(column("n", x), column("n", head)), joined(none(pa.int32()), pa.array(drawn)),
     ]
+    give_back()
     return pa.table(columns, [c.split()[0] for c in REGIONS.split(", ")])
 
 
@@ -367,7 +368,7 @@ def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, names:
             # A repeated id may come with other texts: the content's own name tells which row is meant.
             own = [names(s) for s in shingle_sets(b.column(0))]
             new = [k for k, x in enumerate(own) if not (x in done or done.add(x))]
-            if len(done) > 1_000_000:
+            if len(done) > 300_000:
                 done.clear()
             yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in new], pa.int64()), b.column(0).take(pa.array(new, pa.int64()))], ["node", "text"])
 
@@ -386,10 +387,10 @@ def _measured_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, names:
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "common"])
 
-    texts = some.mapInArrow(named, "node long, text string")
+    texts = some.mapInArrow(tidy(named), "node long, text string")
     rows = texts.join(wants, "node").select("host", "turn", "role", "node", "na", "nb", "text")
     rows = rows.repartition("host", "turn").sortWithinPartitions("host", "turn", "role")
-    return cut(rows.mapInArrow(compared, "a long, b long, na long, nb long, common long").distinct(), f"{what}-measured")
+    return cut(rows.mapInArrow(tidy(compared), "a long, b long, na long, nb long, common long").distinct(), f"{what}-measured")
 
 
 def components(links: DataFrame) -> DataFrame:

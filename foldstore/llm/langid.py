@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldstore.llm.runtime import crc_mod, small_batches
+from foldstore.llm.runtime import crc_mod, small_batches, tidy
 
 FOLDS, HELD_OUT = 4, 2
 ALPHABET = 128
@@ -147,7 +147,7 @@ def fit(docs: DataFrame) -> dict[str, list[int]]:
         for lang in list(sums):
             yield spill(lang)
 
-    total = learn.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = learn.mapInArrow(tidy(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = total.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PROFILE).select("lang", "gram", "place").collect()
     out: dict[str, list[int]] = {}
@@ -177,4 +177,4 @@ def measure(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str]) ->
                 [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), *[pa.array([g[k] for g in got], pa.float64()) for k in (1, 2)]], [*b.schema.names[:-1], "lang_pred", "lang_score", "lang_away"]
             )
 
-    return whole.mapInArrow(run, whole.drop("lang_text").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_away", "double"))
+    return whole.mapInArrow(tidy(run), whole.drop("lang_text").schema.add("lang_pred", "string").add("lang_score", "double").add("lang_away", "double"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldstore.llm import webp
-from foldstore.llm.runtime import small_batches
+from foldstore.llm.runtime import small_batches, tidy
 
 ROW, IMAGE = 64, 1 << 20
 
@@ -76,7 +76,7 @@ def round_trip(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = whole.drop("media_text").schema
     for part in SCHEMA.split(", "):
         schema = schema.add(*part.split())
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(tidy(run), schema)
 
 
 def images(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -98,4 +98,4 @@ def images(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = whole.drop("media_text").schema
     for name, kind in (("image", "integer"), ("width", "integer"), ("height", "integer"), ("file", "binary"), ("samples", "binary")):
         schema = schema.add(name, kind)
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(tidy(run), schema)

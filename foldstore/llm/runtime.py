@@ -6,6 +6,7 @@ and all executors see; a lost executor costs the tasks it held, not the tables i
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from functools import wraps
@@ -92,6 +93,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system; workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over the batches of a partition that gives its memory back at the end."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def passing(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows whose ``column`` is among ``ids`` (one column), and a few others: for joins that would else move all rows.
 
