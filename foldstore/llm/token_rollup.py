@@ -11,7 +11,8 @@ into a base that names them; it is committed by a rename too.
 
 Defined cases: null source, language or version are groups of their own; null counts are 0; repeated rows count each;
 unknown kinds of change fail the batch; groups whose sums are all 0 aren't returned; an empty batch commits and
-changes nothing.
+changes nothing; other columns of a change aren't read; texts never come here, only their counts, so that long ones cost
+no more; sums don't depend on order, so there are no ties.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class DeltaRollup:
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Append the batch; False if it is there already."""
         to = self._batch_path(batch_id)
-        if exists(self.spark, to) or to.rpartition("/")[2] in self._folded():
+        if exists(self.spark, to) or self._folded([to.rpartition("/")[2]]):
             return False
         staged = f"{self.root}/staging/{uuid.uuid4().hex}"
         sums = signed(changes).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -91,27 +92,31 @@ class DeltaRollup:
         names = self._names("base")
         return f"{self.root}/base/{names[-1]}" if names else None
 
-    def _folded(self) -> set[str]:
+    def _folded(self, names: list[str]) -> set[str]:
+        """Those of some batches that the base has; its list of all that it ever folded stays where it lies."""
         base = self._base()
-        return {r[0] for r in self.spark.read.parquet(f"{base}/folded").collect()} if base else set()
+        return {r[0] for r in self.spark.read.parquet(f"{base}/folded").where(F.col("name").isin(names)).collect()} if base and names else set()
 
     def _deltas(self, names: list[str], base: str | None) -> DataFrame:
         paths = [f"{self.root}/batches/{n}" for n in names] + ([f"{base}/totals"] if base else [])
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
-        base, folded = self._base(), self._folded()
-        sums = self._deltas([n for n in self._names("batches") if n not in folded], base).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
+        base, names = self._base(), self._names("batches")
+        folded = self._folded(names)
+        sums = self._deltas([n for n in names if n not in folded], base).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
     def compact(self) -> None:
         """Fold all batches into a new base. A batch's folder goes only after a base that names it is there."""
-        base, folded, names = self._base(), self._folded(), self._names("batches")
+        base, names = self._base(), self._names("batches")
+        folded = self._folded(names)
         fresh = [n for n in names if n not in folded]
         number = int(base.rpartition("/")[2]) + 1 if base else 0
         staged = f"{self.root}/staging/{uuid.uuid4().hex}"
         self._deltas(fresh, base).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(n,) for n in sorted({*folded, *fresh})], "name string").coalesce(1).write.parquet(f"{staged}/folded")
+        new = self.spark.createDataFrame([(n,) for n in fresh], "name string")
+        (new.union(self.spark.read.parquet(f"{base}/folded")) if base else new).coalesce(1).write.parquet(f"{staged}/folded")
         if self._publish(staged, f"{self.root}/base/{number:012d}"):
             for n in names:
                 fs, p = hadoop_path(self.spark, f"{self.root}/batches/{n}")
