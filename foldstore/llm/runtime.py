@@ -63,6 +63,7 @@ def clearing(operator):
         made, _made[first:] = _made[first:], []
         spark = SparkSession.getActiveSession()
         remove(spark, *(path for path in made if path.rpartition("/")[2] not in read))
+        give_back()
         return out
 
     return run
