@@ -58,16 +58,21 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         bare = json.loads(self.whole.to_str())
         bare["normalizer"] = None  # new words come lower-cased, in characters that normalisation doesn't change
+        # Bytes of each token: byte-level names have a character for each, and a mark at a word's end.
+        vocabulary = bare["model"]["vocab"]
+        mark = bare["model"].get("end_of_word_suffix") or ""
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, k in vocabulary.items():
+            self.bytes[k] = len(name.removesuffix(mark))
         self.bare = Tokenizer.from_str(json.dumps(bare))
         self.young: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        """Tokenise words in one go; a token belongs to the word in which it starts."""
-        got = self.bare.encode(" ".join(new), add_special_tokens=False)
-        ids = np.asarray(got.ids, dtype="<u4")
-        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
-        last = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), ends)
+        """Tokenise words in one go; no token crosses words and none leaves a byte out, so that bytes tell whose it is."""
+        ids = np.asarray(self.bare.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), np.int64, len(new)))
+        last = np.searchsorted(np.cumsum(self.bytes.take(ids)), ends) + 1
         data, first = ids.tobytes(), 0
         for w, end in zip(new, (4 * last).tolist(), strict=True):
             self.young[w] = data[first:end]
