@@ -18,7 +18,8 @@ within 1/4 of each other are one class from then on. Large regions that still ho
 the one that seems nearest, is measured from it, and joins its class if it lies within 1/4. What is left are pairs of
 different classes. They are narrowed by the windows of the pivots that both were measured from (distances that differ by
 over 1/4 exclude a link), by sizes, by the number of shared pivots and by sketches, and what remains is compared,
-exactly, on whole sets. Regions of frequent shingles are dealt into parts first.
+exactly, on whole sets. Regions with the same least node are joined as one, so that a pair is a row for each such node
+and not for each pivot that it shares. Regions of frequent shingles are dealt into parts first.
 
 Sketches. A sketch is the parity of the shingles that fall to each of ``SKETCH`` places. The places where two sketches
 differ never outnumber the symmetric difference of the sets, a metric too, so that more than (m + n)/7 of them exclude a
@@ -422,9 +423,9 @@ def _relabel(spark: SparkSession, label: DataFrame, links: DataFrame) -> DataFra
 
 
 def _several(regions: DataFrame, label: DataFrame, what: str) -> DataFrame:
-    """Regions of several classes, with the class of every document and, as main, that of the one with the least node."""
+    """Regions of several classes, with the class of every document and, as head and main, the least node and its class."""
     classed = cut(regions.join(label.select("node", "label"), "node"), what)
-    mixed = classed.groupBy("pivot").agg(F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "main")
+    mixed = classed.groupBy("pivot").agg(F.min("node").alias("head"), F.min_by("label", "node").alias("main"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("pivot", "head", "main")
     return classed.join(mixed, "pivot")
 
 
@@ -492,21 +493,25 @@ def join(docs: DataFrame, digest: Callable[[np.ndarray], tuple[int, int]] = cont
     # Pairs of different classes that some region holds.
     away = 1 - c("common") / (c("na") + c("nb") - c("common"))
     middle = star.select(c("b").alias("node"), c("a").alias("centre"), away.alias("away"))
-    apart = ["node", "n", "pos", "label"]
-    stray = (c("label") != c("main")).alias("stray")
-    half = F.ceil(least_common(c("x_n"), c("y_n")) / 2)
-    # Of least_common pivots half are asked for, within windows that are shorter by the other half.
-    within = lambda n, pos: c(pos) <= c(n) - _overlap(c("x_n"), c("y_n")) + half
-    allowed = (c("x_label") != c("y_label")) & (~c("y_stray") | (c("x_node") < c("y_node"))) & _sizes_allow(c("x_n"), c("y_n")) & within("x_n", "x_pos") & within("y_n", "y_pos")
+    # Regions with one head are joined as one, so that a pair is a row for each head and not for each pivot that it shares.
+    apart = ["node", "n", "label", "held"]
+    held = F.sort_array(F.collect_list(F.struct("pos", "pivot"))).alias("held")
+    by_head = _several(large, label, "join-large").groupBy("head", "node").agg(*[F.max(k).alias(k) for k in ("n", "label", "main")], held)
+    many = by_head.join(middle, "node", "left").join(nodes.select("node", *SKETCHES), "node")
+    many = cut(many.select("head", *apart, (c("label") != c("main")).alias("stray"), "centre", "away", *SKETCHES), "join-many")
+    x = many.where("stray").select("head", *[c(k).alias(f"x_{k}") for k in [*apart, "centre", "away", *SKETCHES]])
+    y = many.select("head", *[c(k).alias(f"y_{k}") for k in [*apart, "stray", "centre", "away", *SKETCHES]])
+    allowed = (c("x_label") != c("y_label")) & (~c("y_stray") | (c("x_node") < c("y_node"))) & _sizes_allow(c("x_n"), c("y_n"))
 
     limit = 1 - PERCENT / 100 + 1e-9
     near = F.coalesce((c("x_centre") != c("y_centre")) | (F.abs(c("x_away") - c("y_away")) <= limit), F.lit(True)) & _sketches_allow(_differing("x_", "y_"), c("x_n"), c("y_n"))
-    many = cut(_several(large, label, "join-large").join(middle, "node", "left").select("pivot", *apart, stray, "centre", "away", *SKETCHES), "join-many")
-    x = many.where("stray").select("pivot", *[c(k).alias(f"x_{k}") for k in [*apart, "centre", "away", *SKETCHES]])
-    y = many.select("pivot", *[c(k).alias(f"y_{k}") for k in [*apart, "stray", "centre", "away", *SKETCHES]])
     low = c("x_node") < c("y_node")
     pick = lambda f, g, name: F.when(low, c(f)).otherwise(c(g)).alias(name)
-    met = x.join(y, "pivot").where(allowed & near).select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"), one)
+    # Of least_common pivots half are asked for, within windows that are shorter by the other half.
+    half = F.ceil(least_common(c("x_n"), c("y_n")) / 2)
+    within = lambda k: F.slice(f"{k}_held.pivot", 1, F.size(F.filter(f"{k}_held.pos", lambda pos: pos <= c(f"{k}_n") - _overlap(c("x_n"), c("y_n")) + half)))
+    shared = F.size(F.array_intersect(within("x"), within("y"))).cast("long").alias("shared")
+    met = x.join(y, "head").where(allowed & near).select(pick("x_node", "y_node", "a"), pick("y_node", "x_node", "b"), pick("x_n", "y_n", "na"), pick("y_n", "x_n", "nb"), shared).where("shared > 0")
     pairs = counted(met.union(few)).where(c("shared") >= F.ceil(least_common(c("na"), c("nb")) / 2))
     of = lambda name: label.select(c("node").alias(name), c("label").alias(f"{name}_label"))
     pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label")

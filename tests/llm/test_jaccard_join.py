@@ -147,3 +147,20 @@ def test_replicas_survive_their_blocks():
     which = r.integers(0, 20, 500)
     rows["node"], rows["n"], rows["pos"], rows["part"] = nodes[which], which + 5, r.integers(1, 9999, 500), r.integers(-1, 70_000, 500)
     assert (J.from_block(J.to_block(rows)) == rows).all()
+
+
+def test_pairs_of_large_regions_are_rows_once(spark, monkeypatch):
+    """Documents that share most of their shingles, but too few to link, meet once and not at each pivot that they share."""
+    kept, cut = [], J.cut
+    monkeypatch.setattr(J, "cut", lambda df, what, path=None: (out := cut(df, what, path), kept.append(out.count()) if what == "join-many" else None)[0])
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(14):
+            w[r.randrange(400)] = word()
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+    assert 60 < kept[-1] < 60 * 60
