@@ -13,21 +13,19 @@ first 4 bytes, and each smooths the one before:
 * The counts N_c are Kneser-Ney continuation counts: of a word the number of distinct contexts in which documents of
   class c first use it. For toxic text a context is the two words before and the two after, so that copies of a toxic
   document say nothing new; for ordinary text, of which there is far more, it is the document. Of a bigram likewise (one
-  word on either side); of a stem the number of distinct words of class c that
-  continue it, with contexts in over ``SHARE`` of the toxic documents each.
+  word on either side); of a stem the number of distinct words of class c that continue it.
 * Backoff is shared by the classes. The weight b comes from the counts of both, and so does S, how the mass of the
   level below is dealt: by the number of classes that use x. A rare expression, whose counts are within the discount,
   thus has the ratio of its stem, and one that is rare on every level has the ratio 1. Unseen forms of a toxic stem are
   found by the stem; toxic expressions of ordinary words by their bigrams.
-* D is ``DISCOUNT`` (``STEM_DISCOUNT`` for stems), or ``SHARE`` of the toxic documents if that is more, so that the evidence of a distribution stays
-  the same however many documents show it, and so that what is broadcast has a bound: an entry takes over D toxic
-  contexts, or those of ``SHARE`` of the ordinary documents. Since the contexts of a class are at most the distinct words
-  of its documents, there are at most 2 / SHARE times as many word entries as a document has distinct words, and fewer
-  stems; bigrams take more contexts (``PAIR_DISCOUNT``, ``PAIR_SHARE``) and have a bound of the same kind.
+* D is ``DISCOUNT`` for words, ``STEM_DISCOUNT`` for stems and ``PAIR_DISCOUNT`` for bigrams, whatever the size of the
+  input. Words whose counts are within the discount in both classes have the evidence of their stem and need no entry;
+  all others have one. What is broadcast thus grows with the vocabulary: 16 bytes for each stem, for each word that more
+  than one toxic context or ordinary document has, and for each bigram with over ``PAIR_DISCOUNT`` toxic contexts.
 
-All labelled documents outside the held-out fold are counted, in DataFrames that grow with the vocabulary, but for the
-sample that the curve is fitted on (``CALIBRATION_SHARE``, ``CALIBRATION_ROWS``): in documents that were counted every
-rare expression speaks for the class that it was counted in.
+All labelled documents outside the held-out fold are counted, in DataFrames that grow with the vocabulary, but for
+``CALIBRATION_SHARE`` of them, which the curve is fitted on, all of them and where they lie: in documents that were
+counted every rare expression speaks for the class that it was counted in.
 
 Within a text a word counts once, with the highest evidence of its places. Defined cases: null and empty texts score as
 a document without words; several labels of one document count as toxic if one says so; null labels are no labels;
@@ -50,10 +48,11 @@ from foldstore.llm import hashing
 from foldstore.llm.runtime import clearing, crc_mod, cut, passing, small_batches, tidy
 
 FOLDS, HELD_OUT = 5, 0
-#: The curve is fitted on this share of the labelled documents, and at most so many of them, which aren't counted.
-CALIBRATION_SHARE, CALIBRATION_ROWS = 1 / 8, 20_000
-DISCOUNT, SHARE = 1.5, 1 / 8192
-PAIR_DISCOUNT, PAIR_SHARE = 4.0, 1 / 4096
+#: The curve is fitted on this share of the labelled documents, which aren't counted; their number has no limit.
+CALIBRATION_SHARE, CALIBRATION_ROWS = 1 / 8, float("inf")
+#: Discounts, and what they grow by for each toxic document: by nothing.
+DISCOUNT, SHARE = 1.5, 0.0
+PAIR_DISCOUNT, PAIR_SHARE = 4.0, 0.0
 STEM_DISCOUNT = 0.75
 #: Distinct words of a passage, and of the worst place.
 PASSAGE, WORST = 32, 3
@@ -126,6 +125,11 @@ def counted(texts: pa.Array, toxic: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in COUNTED.split(", ")])
 
 
+def among(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted table."""
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), bool)
+
+
 def pair_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return keys(hashing.mix(prev) ^ word, PAIR)
 
@@ -138,7 +142,7 @@ def counted_after(texts: pa.Array, toxic: np.ndarray, known: np.ndarray, firsts:
     for i, j, (_, _, word), first in text_words(texts):
         doc = np.repeat(np.arange(j - i), np.diff(first))
         at = before(word, doc)
-        at = at[np.isin(word[at - 1], firsts)]
+        at = at[among(firsts, word[at - 1])]
         if not len(at):
             continue
         _, once = np.unique(np.stack([doc[at].view(np.uint64), word[at - 1], word[at]]), axis=1, return_index=True)
@@ -148,7 +152,7 @@ def counted_after(texts: pa.Array, toxic: np.ndarray, known: np.ndarray, firsts:
         t, p = (np.bincount(which[x], minlength=len(heads)) for x in (bad, ~bad))
         yield pa.RecordBatch.from_arrays([pa.array(heads.view(np.int64)), pa.nulls(len(heads), pa.int64()), pa.array(p), pa.array(t)], [x.split()[0] for x in SECOND.split(", ")])
         mine = at[~bad]
-        mine = mine[np.isin(pair_keys(word[mine - 1], word[mine]), known)]
+        mine = mine[among(known, pair_keys(word[mine - 1], word[mine]))]
         one = np.ones(len(mine), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(word[mine - 1].view(np.int64)), pa.array(word[mine].view(np.int64)), pa.array(one), pa.array(one * 0)], [x.split()[0] for x in SECOND.split(", ")])
 
@@ -179,32 +183,30 @@ def _ratio(t: Column, p: Column) -> Column:
     return F.log(t) - F.log(p)
 
 
-def word_levels(words: DataFrame, discount: float, firm: float, rare: float) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+def word_levels(words: DataFrame) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
     """Entries (key, value) of stems, 6-byte stems and words, from ``words`` (word, sub, toxic, plain: contexts);
-    and P of each word for both classes. firm: contexts that a word must exceed to continue its stem in a class; rare:
-    contexts of ordinary documents below which a word isn't an entry."""
+    and P of each word for both classes. A word within the discount in both classes has the ratio of its 6-byte stem and
+    is no entry."""
     c = F.col
     uses = lambda t, p: (F.col(t) > 0).cast("int") + (F.col(p) > 0).cast("int") + F.lit(SOME)
-    kinds = [F.count_if(c(k) > firm).alias(k) for k in ("toxic", "plain")]
+    kinds = [F.count_if(c(k) > 0).alias(k) for k in ("toxic", "plain")]
     subs = words.groupBy("sub").agg(*kinds, c("sub").bitwiseAND(0xFFFFFFFF).alias("stem"), F.sum(uses("toxic", "plain")).alias("within"))
     subs = subs.withColumn("uses", uses("toxic", "plain"))
     stems = subs.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.sum("uses").alias("within"))
     stems = cut(stems.withColumn("uses", uses("toxic", "plain")), "toxicity-stems")
     subs = cut(subs, "toxicity-subs")
-    whole = stems.agg(F.sum("uses"), F.sum("plain")).first()
-    share = max(1.0, (whole[1] or 0) * SHARE)
-    at_stem, at_sub, at_word = Level.of(stems, STEM_DISCOUNT), Level.of(subs, STEM_DISCOUNT), Level.of(words, discount)
-    t, p = at_stem("", c("uses") / whole[0])
+    whole = stems.agg(F.sum("uses")).first()[0]
+    at_stem, at_sub, at_word = Level.of(stems, STEM_DISCOUNT), Level.of(subs, STEM_DISCOUNT), Level.of(words, DISCOUNT)
+    t, p = at_stem("", c("uses") / whole)
     stems = stems.withColumn("s_toxic", t).withColumn("s_plain", p)
     t, p = at_sub("s", c("uses") / c("whole"))
     subs = subs.join(stems.select("stem", "s_toxic", "s_plain", c("within").alias("whole")), "stem").withColumn("b_toxic", t).withColumn("b_plain", p)
     t, p = at_word("b", uses("toxic", "plain") / c("whole"))
     leaves = words.join(subs.select("sub", "b_toxic", "b_plain", c("within").alias("whole")), "sub").withColumn("w_toxic", t).withColumn("w_plain", p)
-    many = lambda least: (c("toxic") > STEM_DISCOUNT) | (c("plain") >= least)
     entries = [
-        (STEM, stems.where(many(share)).select("stem", _ratio(c("s_toxic"), c("s_plain")))),
-        (SUB, subs.where(many(share)).select("sub", _ratio(c("b_toxic"), c("b_plain")))),
-        (WORD, leaves.where((c("toxic") > discount) | (c("plain") >= max(1.0, rare))).select("word", _ratio(c("w_toxic"), c("w_plain")))),
+        (STEM, stems.select("stem", _ratio(c("s_toxic"), c("s_plain")))),
+        (SUB, subs.select("sub", _ratio(c("b_toxic"), c("b_plain")))),
+        (WORD, leaves.where((c("toxic") > DISCOUNT) | (c("plain") > DISCOUNT)).select("word", _ratio(c("w_toxic"), c("w_plain")))),
     ]
     return entries, leaves.select("word", "w_toxic", "w_plain")
 
@@ -294,15 +296,56 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> Curve:
-    """Logistic regression by Newton's method with a slight ridge."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
+#: Terms are summed as whole numbers of 2^-FIXED, so that a sum doesn't depend on the order and the parts of its rows.
+FIXED, MOST_TERM = 30, 2.0**30
+UPPER = np.triu_indices(FEATURES + 1)
+
+
+def exact_sum(terms: np.ndarray) -> list[int]:
+    """Sums of the columns of terms, as whole numbers of 2^-FIXED."""
+    n = np.rint(np.clip(terms, -MOST_TERM, MOST_TERM) * 2.0**FIXED).astype(np.int64)
+    return [(int(h) << 32) + int(x) for h, x in zip((n >> 32).sum(0), (n & 0xFFFFFFFF).sum(0), strict=True)]
+
+
+def summed(rows: DataFrame, terms) -> np.ndarray:
+    """Sums over ``rows`` (a, b, c, label) of terms(features, label), an array with a row for each; a row of each task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[int] = []
+        for b in batches:
+            x = np.stack([b.column(k).to_numpy() for k in range(FEATURES)], axis=1)
+            new = exact_sum(terms(x, b.column(FEATURES).to_numpy().astype(float)))
+            total = [x + y for x, y in zip(total, new, strict=True)] if total else new
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, total))] if total else [], pa.string())], ["sums"])
+
+    got = [[int(x) for x in r.sums.split()] for r in rows.select("a", "b", "c", "label").mapInArrow(tidy(run), "sums string").collect()]
+    return np.array([sum(x) / 2**FIXED for x in zip(*got, strict=True)])
+
+
+def fit_curve(rows: DataFrame) -> Curve | None:
+    """Logistic regression on ``rows`` (a, b, c, label) by Newton's method with a slight ridge; None without both classes."""
+    sums = summed(rows, lambda x, y: np.c_[np.ones(len(x)), y, x])
+    if not len(sums) or not 0 < sums[1] < sums[0]:
+        return None
+    n, mean = sums[0], sums[2:] / sums[0]
+    curve = Curve(mean, np.sqrt(summed(rows, lambda x, y: (x - mean) ** 2) / n) + 1e-9, np.zeros(FEATURES + 1))
+    ridge = 1e-2 * np.eye(FEATURES + 1)
     for _ in range(40):
-        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w + np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (y - q) - 1e-2 * w)
-    return Curve(mean, scale, w)
+
+        def terms(x: np.ndarray, y: np.ndarray, curve: Curve = curve) -> np.ndarray:
+            """Gradient, and the Hessian's upper triangle."""
+            z, q = np.c_[(x - curve.mean) / curve.scale, np.ones(len(x))], curve(x)
+            return np.c_[z * (y - q)[:, None], z[:, UPPER[0]] * z[:, UPPER[1]] * (q * (1 - q))[:, None]]
+
+        sums = summed(rows, terms)
+        hessian = np.zeros_like(ridge)
+        hessian[UPPER] = sums[FEATURES + 1 :]
+        hessian = hessian + np.triu(hessian, 1).T + ridge
+        step = np.linalg.solve(hessian, sums[: FEATURES + 1] - 1e-2 * curve.weights)
+        curve = Curve(curve.mean, curve.scale, curve.weights + step)
+        if np.abs(step).max() < 1e-8:
+            break
+    return curve
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,9 +366,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Curve] | None:
     if not size[0] or not size[1]:
         return None
     # The curve is to see documents as a new one is seen: what it is fitted on must not have been counted.
-    spare = min(CALIBRATION_SHARE, CALIBRATION_ROWS / (size[0] + size[1]))
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(spare * (1 << 20))
-    discount, pair_discount = max(DISCOUNT, size[0] * SHARE), max(PAIR_DISCOUNT, size[0] * PAIR_SHARE)
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(CALIBRATION_SHARE * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,8 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Curve] | None:
 
     rows = known.where(~aside).select("text", "label").mapInArrow(tidy(count), COUNTED).groupBy("word", "prev", "context").agg(F.sum("plain").alias("plain"), F.max("sub").alias("sub"))
     counts = rows.groupBy("word", "prev").agg(F.count("context").alias("toxic"), F.coalesce(F.sum("plain"), F.lit(0)).alias("plain"), F.max("sub").alias("sub"))
-    counts = cut(counts.where(F.col("prev").isNull() | (F.col("toxic") > pair_discount)), "toxicity-counts")
-    entries, words = word_levels(counts.where("prev is null"), discount, size[0] * SHARE, size[1] * SHARE)
+    counts = cut(counts.where(F.col("prev").isNull() | (F.col("toxic") > PAIR_DISCOUNT)), "toxicity-counts")
+    entries, words = word_levels(counts.where("prev is null"))
 
     pairs = counts.where("prev is not null").select("prev", "word", "toxic")
     found = pairs.select("prev", "word").toArrow()
@@ -347,7 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Curve] | None:
 
     seen = cut(known.where(~aside).select("text", "label").mapInArrow(tidy(count_after), SECOND).groupBy("prev", "word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")), "toxicity-pairs")
     parts = []
-    for level, part in [*entries, *zip((PAIR, HEAD), pair_level(pairs, seen, words, pair_discount), strict=True)]:
+    for level, part in [*entries, *zip((PAIR, HEAD), pair_level(pairs, seen, words, PAIR_DISCOUNT), strict=True)]:
         got = part.toArrow()
         own = np.zeros(got.num_rows, EVIDENCE)
         symbols = [got[k].to_numpy().view(np.uint64) for k in range(got.num_columns - 1)]
@@ -362,13 +403,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Curve] | None:
             x = features(b.column(1), evidence.value)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, x.T.copy()), b.column(2)], ["id", "a", "b", "c", "label"])
 
-    # Repeated rows measure the same; that many rows at most come to the driver, in an order of their own.
+    # Repeated rows measure the same.
     some = known.where(aside).select(F.col("doc_id").cast("long").alias("id"), "text", "label").mapInArrow(tidy(measure), "id long, a double, b double, c double, label int")
-    got = some.distinct().orderBy(F.xxhash64("id"), "id", "a", "b", "c", "label").limit(CALIBRATION_ROWS).toArrow()
-    if len(set(got["label"].to_pylist())) < 2:
-        return None
-    curve = fit_curve(np.c_[tuple(got[k].to_numpy() for k in "abc")], got["label"].to_numpy().astype(float))
-    return table, curve
+    curve = fit_curve(cut(some.distinct(), "toxicity-curve"))
+    return curve and (table, curve)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Curve] | None, keep: list[str]) -> DataFrame:

@@ -207,3 +207,41 @@ def test_long_texts_and_a_kept_score(spark, labelled):
     assert got.columns == ["doc_id", "tox_score"]
     s = {x.doc_id: x.tox_score for x in got.collect()}
     assert s[1] < 0.5 and s[2] < 0.5 and s[3] > 0.5
+
+
+def test_rare_words_are_entries_however_large_the_input(spark):
+    from pyspark.sql import functions as F
+
+    # 24,000 documents of either class; each of 200 words is in three documents of one class.
+    toxic = F.col("id") % 2 == 1
+    rare = F.when(F.col("id") < 600, F.concat(F.when(toxic, F.lit("bad")).otherwise(F.lit("gut")), F.expr("id div 6").cast("string")))
+    text = F.concat_ws(" ", *[F.expr(f"concat('w', pmod(xxhash64(id, {k}), 1000))") for k in range(3)], rare, F.expr("concat('w', pmod(xxhash64(id, 9), 1000))"))
+    rows = spark.range(48_000).select(F.col("id").alias("doc_id"), text.alias("text"), rare.alias("rare"), toxic.cast("int").alias("toxic"))
+    docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+    table, _ = toxicity.fit(docs, labels)
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(toxicity.CALIBRATION_SHARE * (1 << 20))
+    counted = toxicity.labelled(docs, labels).where(~aside).join(rows.select("doc_id", "rare"), "doc_id").where("rare is not null").groupBy("rare").count().collect()
+    words = [r.rare for r in counted if r["count"] > toxicity.DISCOUNT]
+    assert any(r["count"] == 2 for r in counted) and len(words) > 100
+    of = lambda text: hashing.words(*hashing.buffers(pa.array([text])), hashing.ALNUM, (None,))[0][0]
+    held = set(table["key"].tolist())
+    assert [w for w in words if int(toxicity.keys(of(w), toxicity.WORD)[0]) not in held] == []
+
+
+def test_the_curve_is_fitted_on_every_row(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(30_000, toxicity.FEATURES)) * [1, 5, 0.1] + [0, 2, 1]
+    y = (r.random(30_000) < 1 / (1 + np.exp(-(x @ [1.0, -0.4, 3.0] - 2)))).astype(int)
+    y[-5000:] = 1  # what a part of the rows would show otherwise
+    rows = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, label int").cache()
+    got, again = toxicity.fit_curve(rows.repartition(3)), toxicity.fit_curve(rows.repartition(7))
+    assert (got.weights == again.weights).all() and (got.mean == again.mean).all()
+    z = np.c_[(x - x.mean(0)) / (x.std(0) + 1e-9), np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        q = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (y - q) - 1e-2 * w)
+    assert got.weights == pytest.approx(w, abs=1e-5)
+    assert toxicity.fit_curve(rows.where("label = 1")) is None and toxicity.fit_curve(rows.limit(0)) is None
