@@ -10,11 +10,10 @@ several groups are decoded token by token.
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from dataclasses import dataclass
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 
@@ -51,57 +50,110 @@ def _reversal(bits: int) -> np.ndarray:
 _NO_BITS = np.zeros(1, np.int64)
 
 
-class Code:
-    """A prefix code as a table over the next ``bits`` bits of the stream: symbol and length."""
+@cache
+def _back() -> list[int]:
+    """The reversal of 15 bits as a list."""
+    return _reversal(15).tolist()
 
-    __slots__ = ("bits", "length", "symbol")
 
-    def __init__(self, lengths: np.ndarray, only: int | None = None):
-        if only is not None:
-            self.bits, self.symbol, self.length = 0, np.array([only]), _NO_BITS
-            return
-        used = lengths.nonzero()[0]
-        if len(used) == 0:
+class Code:
+    """A prefix code as a table over the next ``bits`` bits of the stream: symbol and length; as arrays and as a list."""
+
+    def __init__(self, symbols: list[int], sizes: list[int]):
+        if not symbols:
             raise Damaged("a prefix code without symbols")
-        if len(used) == 1:
-            self.bits, self.symbol, self.length = 0, used, _NO_BITS
-            return
-        size = lengths[used].astype(np.int64)
-        self.bits = int(size.max())
-        order = np.argsort(size, kind="stable")
-        share = np.left_shift(1, self.bits - size[order])
-        if share.sum() != 1 << self.bits:
+        self.rows = sorted(zip(sizes, symbols, strict=True))
+        self.bits = self.rows[-1][0] if len(symbols) > 1 else 0
+        if self.bits and sum([1 << self.bits - n for n in sizes]) != 1 << self.bits:
             raise Damaged("an incomplete prefix code")
-        back = _reversal(self.bits)
-        self.symbol = np.repeat(used[order], share)[back]
-        self.length = np.repeat(size[order], share)[back]
+
+    @cached_property
+    def entries(self) -> list[int]:
+        """Symbol and, in the lowest four bits, length."""
+        if not self.bits:
+            return [self.rows[0][1] << 4]
+        out, back, first = [0] * (1 << self.bits), _back(), 0
+        for n, s in self.rows:
+            out[back[first] :: 1 << n] = [s << 4 | n] * (1 << self.bits - n)
+            first += 1 << 15 - n
+        return out
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.bits:
+            return np.array([self.rows[0][1]]), _NO_BITS
+        size, symbol = np.array(self.rows, np.int64).T
+        row = np.repeat(np.arange(len(size)), np.left_shift(1, self.bits - size))[_reversal(self.bits)]
+        return symbol.take(row), size.take(row)
+
+    @property
+    def symbol(self) -> np.ndarray:
+        return self._arrays[0]
+
+    @property
+    def length(self) -> np.ndarray:
+        return self._arrays[1]
+
+
+@lru_cache(maxsize=512)
+def _short_code(*symbols: int) -> Code:
+    """A code of one symbol, or of two with a bit each."""
+    return Code(list(symbols), [1] * len(symbols))
+
+
+def _depths(weight: list[int], most: int) -> list[int]:
+    """Lengths of an optimal prefix code of two symbols or more, flattened until none is over ``most``."""
+    n, never = len(weight), 1 << 62
+    while True:
+        order = sorted(range(n), key=weight.__getitem__)
+        # Sums come out in rising order, so that the symbols and the sums are two queues; of equals, symbols go first.
+        leaf, sums = [weight[k] for k in order] + [never], [never] * n
+        above, over = [0] * n, [0] * n
+        i = j = 0
+        for node in range(n - 1):
+            if leaf[i] <= sums[j]:
+                total, above[i], i = leaf[i], node, i + 1
+            else:
+                total, over[j], j = sums[j], node, j + 1
+            if leaf[i] <= sums[j]:
+                total, above[i], i = total + leaf[i], node, i + 1
+            else:
+                total, over[j], j = total + sums[j], node, j + 1
+            sums[node] = total
+        depth = [1] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[over[k]] + 1
+        if max(depth) <= most:
+            out = [0] * n
+            for k, a in zip(order, above, strict=True):
+                out[k] = depth[a]
+            return out
+        weight = [(x + 1) // 2 for x in weight]
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of an optimal prefix code, flattened until none is over ``most``."""
     out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) <= 1:
         out[used if len(used) else 0] = 1
-        return out
-    weight = counts[used].astype(np.int64)
-    while True:
-        heap = [(int(w), k) for k, w in enumerate(weight)]
-        heapq.heapify(heap)
-        above, nodes = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heapq.heappop(heap)
-            above[i] = above[j] = nodes
-            heapq.heappush(heap, (a + b, nodes))
-            nodes += 1
-        depth = [0] * nodes
-        for k in range(nodes - 2, -1, -1):
-            depth[k] = depth[above[k]] + 1
-        if max(depth[: len(used)]) <= most:
-            out[used] = depth[: len(used)]
-            return out
-        weight = (weight + 1) // 2
+    else:
+        out[used] = _depths(counts[used].tolist(), most)
+    return out
+
+
+def _small_code(counts: list[int], most: int) -> tuple[list[int], list[int]]:
+    """``code_lengths`` and ``code_words`` as lists, for a few symbols."""
+    used = [k for k, n in enumerate(counts) if n] or [0]
+    lengths, words = [0] * len(counts), [0] * len(counts)
+    for k, n in zip(used, _depths([counts[k] for k in used], most) if len(used) > 1 else (1,), strict=True):
+        lengths[k] = n
+    if len(used) > 1:
+        back, first = _back(), 0
+        for n, k in sorted([(lengths[k], k) for k in used]):
+            words[k] = back[first]
+            first += 1 << 15 - n
+    return lengths, words
 
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
@@ -135,11 +187,11 @@ class Reader:
 
     def symbol(self, code: Code) -> int:
         p = self.at
-        k = (int.from_bytes(self.data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7)) & ((1 << code.bits) - 1)
-        self.at = p + int(code.length[k])
+        e = code.entries[(int.from_bytes(self.data[p >> 3 : (p >> 3) + 3], "little") >> (p & 7)) & ((1 << code.bits) - 1)]
+        self.at = p + (e & 15)
         if self.at > self.end:
             raise Damaged("the image ends too early")
-        return int(code.symbol[k])
+        return e >> 4
 
     def extra(self, prefix: int) -> int:
         """A length or distance from its prefix symbol and the bits that follow."""
@@ -150,39 +202,66 @@ class Reader:
 
 
 def _read_code(r: Reader, alphabet: int) -> Code:
-    if r.read(1):
-        two = r.read(1)
-        symbols = [r.read(8 if r.read(1) else 1)] + ([r.read(8)] if two else [])
+    data, at = r.data, r.at
+    head = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+    if head & 1:
+        n = 8 if head & 4 else 1
+        symbols = [head >> 3 & ((1 << n) - 1)]
+        if head & 2:
+            symbols.append(head >> 3 + n & 255)
+        r.at = at + 3 + n + (8 if head & 2 else 0)
+        if r.at > r.end:
+            raise Damaged("the image ends too early")
         if max(symbols) >= alphabet:
             raise Damaged("a symbol outside the alphabet")
-        if len(set(symbols)) == 1:
-            return Code(_NO_BITS, symbols[0])
-        lengths = np.zeros(alphabet, np.int64)
-        lengths[symbols] = 1
-        return Code(lengths)
-    lengths = np.zeros(alphabet, np.int64)
-    meta = np.zeros(19, np.int64)
-    for k in range(r.read(4) + 4):
-        meta[LENGTH_ORDER[k]] = r.read(3)
-    code = Code(meta)
-    left = r.read(2 + 2 * r.read(3)) + 2 if r.read(1) else alphabet
+        return _short_code(*sorted(set(symbols)))
+    bits = int.from_bytes(data[at >> 3 : (at >> 3) + 12], "little") >> (at & 7)  # 82 bits at most come before the lengths
+    shown = 4 + (bits >> 1 & 15)
+    meta, have = {}, 5
+    for s in LENGTH_ORDER[:shown]:
+        if n := bits >> have & 7:
+            meta[s] = n
+        have += 3
+    code, left = Code(list(meta), list(meta.values())), alphabet
+    if bits >> have & 1:
+        n = 2 + 2 * (bits >> have + 1 & 7)
+        left = 2 + (bits >> have + 4 & ((1 << n) - 1))
+        have += 3 + n
+    at += have + 1
     if left > alphabet:
         raise Damaged("more code lengths than symbols")
-    k, last = 0, 8
+    # Bits are taken from the stream 32 bytes at a time; a length and its repeats are 14 bits at most.
+    entries, mask, have = code.entries, (1 << code.bits) - 1, 0
+    symbols, sizes, k, last = [], [], 0, 8
     while k < alphabet and left:
+        if have < 14:
+            bits, have = int.from_bytes(data[at >> 3 : (at >> 3) + 32], "little") >> (at & 7), 249
         left -= 1
-        s = r.symbol(code)
+        e = entries[bits & mask]
+        s, n = e >> 4, e & 15
         if s < 16:
-            lengths[k] = s
-            last = s or last
+            if s:
+                symbols.append(k)
+                sizes.append(s)
+                last = s
             k += 1
-            continue
-        value, times = (last, 3 + r.read(2)) if s == 16 else (0, 3 + r.read(3)) if s == 17 else (0, 11 + r.read(7))
-        if k + times > alphabet:
-            raise Damaged("more code lengths than symbols")
-        lengths[k : k + times] = value
-        k += times
-    return Code(lengths)
+        else:
+            more, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            times = least + (bits >> n & ((1 << more) - 1))
+            n += more
+            if k + times > alphabet:
+                raise Damaged("more code lengths than symbols")
+            if s == 16:
+                symbols += range(k, k + times)
+                sizes += [last] * times
+            k += times
+        bits >>= n
+        at += n
+        have -= n
+    r.at = at
+    if at > r.end:
+        raise Damaged("the image ends too early")
+    return Code(symbols, sizes)
 
 
 def _read_group(r: Reader, cache_size: int) -> list[Code]:
@@ -237,12 +316,43 @@ def _tokens_one_by_one(r: Reader, width: int, height: int, groups: list[list[Cod
     return np.array(out, np.uint32)
 
 
+#: An image of at most so many pixels is read symbol by symbol: arrays would cost more.
+FEW = 256
+
+
+def _few_literals(r: Reader, n: int, group: list[Code]) -> np.ndarray:
+    """A small image without references and cached colours, symbol by symbol."""
+    fixed, codes = 0, []
+    for c, shift in zip(group, (8, 16, 0, 24), strict=False):
+        if c.bits:
+            codes.append((c.entries, (1 << c.bits) - 1, shift))
+        else:
+            fixed |= c.entries[0] >> 4 << shift
+    at, out = r.at, []
+    bits = int.from_bytes(r.data[at >> 3 : (at + n * sum(c.bits for c in group[:4]) + 15) >> 3], "little") >> (at & 7)
+    for _ in range(n):
+        p = fixed
+        for entries, mask, shift in codes:
+            e = entries[bits & mask]
+            bits >>= e & 15
+            at += e & 15
+            p |= e >> 4 << shift
+        out.append(p)
+    if at > r.end:
+        raise Damaged("the image ends too early")
+    r.at = at
+    return np.array(out, np.uint32)
+
+
 def _tokens_at_once(r: Reader, width: int, height: int, group: list[Code], cache_bits: int) -> np.ndarray:
     """As above for a single group. Arrays over all bits of what is left of the stream; bit numbers count from its first byte."""
     n, base = width * height, r.at >> 3
+    green, red, blue, alpha, far = group
+    special = any(s >= LITERALS for _, s in green.rows)
+    if n <= FEW and not special:
+        return _few_literals(r, n, group)
     data = np.frombuffer(r.data, np.uint8)[base:].astype(np.uint32)
     start, bits = r.at - 8 * base, r.end - 8 * base
-    green, red, blue, alpha, far = group
     if all(c.bits == 0 for c in group[:4]):  # no bit is spent on a pixel
         s = int(green.symbol[0])
         if s < LITERALS:
@@ -251,43 +361,50 @@ def _tokens_at_once(r: Reader, width: int, height: int, group: list[Code], cache
     whole = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
     windows = (whole[: (bits + 7) // 8, None] >> np.arange(8, dtype=np.uint32)).ravel()[:bits]
     look = lambda code, at: at & ((1 << code.bits) - 1)
-    special = bool((green.symbol >= LITERALS).any())
     k = look(green, windows).astype(np.int64)
-    after = np.arange(bits, dtype=np.int64) + green.length.take(k)
+    after = np.arange(bits + 1)  # the place past the last bit leads to itself
+    within = after[:bits]
+    within += green.length.take(k)
     symbol = green.symbol.take(k) if special else None
     for c in (red, blue, alpha):
         if c.bits:
-            step = after + c.length.take(look(c, windows[np.minimum(after, bits - 1)]))
-            after = np.where(symbol < LITERALS, step, after) if special else step
+            step = c.length.take(look(c, windows[np.minimum(within, bits - 1)]))
+            within += np.where(symbol < LITERALS, step, 0) if special else step
     refers = np.flatnonzero((symbol >= LITERALS) & (symbol < LITERALS + LENGTHS)) if special else ()
     if len(refers):
         prefix = symbol[refers] - LITERALS
-        p = np.minimum(after[refers] + np.maximum(0, (prefix - 2) >> 1), bits - 1)
+        p = np.minimum(within[refers] + np.maximum(0, (prefix - 2) >> 1), bits - 1)
         d = look(far, windows[p])
         prefix = far.symbol[d]
-        after[refers] = p + far.length[d] + np.maximum(0, (prefix - 2) >> 1)
-    after = np.append(np.minimum(after, bits, out=after), bits)
+        within[refers] = p + far.length[d] + np.maximum(0, (prefix - 2) >> 1)
+    np.minimum(after[-128:], bits, out=after[-128:])  # no token has more bits
     jump = after
     for _ in range(4):
         jump = jump.take(jump)
-    stops, p = [], start
-    while p < bits and len(stops) * 16 <= n:
+    stops, p, far_on = [], start, memoryview(jump)
+    for _ in range(n // 16 + 1):
+        if p >= bits:
+            break
         stops.append(p)
-        p = int(jump[p])
+        p = far_on[p]
     at = np.empty((16, len(stops)), np.int64)
     if len(stops):
         at[0] = stops
         for j in range(1, 16):
             after.take(at[j - 1], out=at[j], mode="clip")
-    at = at.T.ravel()
-    at = at[at < bits][:n]
-    k = look(green, windows[at])
+    at = at.T.ravel()[:n]
+    if len(at) and at[-1] >= bits:
+        at = at[: np.searchsorted(at, bits)]
+    k = k.take(at)
     symbol = green.symbol.take(k)
     plain = symbol < LITERALS if special else None
     all_plain = not special or bool(plain.all())
     if all_plain and len(at) < n:
         raise Damaged("the image ends too early")
-    p = at + green.length.take(k) if all_plain else (at + green.length.take(k))[plain]
+    if all_plain and not (red.bits or blue.bits or alpha.bits):
+        p = at[-1:] + green.length.take(k[-1:])
+    else:
+        p = at + green.length.take(k) if all_plain else (at + green.length.take(k))[plain]
     value = (symbol if all_plain else symbol[plain]).astype(np.uint32) << np.uint32(8)
     for c, shift in ((red, 16), (blue, 0), (alpha, 24)):
         if c.bits:
@@ -536,27 +653,38 @@ def split(data: bytes) -> list[bytes]:
 
 
 class Writer:
-    """Values with their numbers of bits (32 at most), set in the stream all at once."""
+    """Values with their numbers of bits (32 at most), set in the stream all at once; single ones gather in a number first."""
 
     def __init__(self):
         self.values: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-        self.one: list[tuple[int, int]] = []
+        self.one = self.one_bits = 0
 
     def put(self, value: int, bits: int) -> None:
-        self.one.append((value, bits))
+        self.one |= value << self.one_bits
+        self.one_bits += bits
 
     def _flush(self) -> None:
-        if self.one:
-            v, n = zip(*self.one, strict=True)
-            self.values.append(np.array(v, np.uint64))
-            self.sizes.append(np.array(n, np.int64))
-            self.one = []
+        if self.one_bits:
+            n = (self.one_bits + 31) // 32
+            size = np.full(n, 32)
+            size[-1] = self.one_bits - 32 * (n - 1)
+            self.values.append(np.frombuffer(self.one.to_bytes(4 * n, "little"), "<u4").astype(np.uint64))
+            self.sizes.append(size)
+            self.one = self.one_bits = 0
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self._flush()
-        self.values.append(values.astype(np.uint64))
-        self.sizes.append(sizes.astype(np.int64))
+        values, sizes = values.astype(np.uint64, copy=False), sizes.astype(np.int64, copy=False)
+        while len(values) > 64 and int(sizes.max()) <= 16:  # two and two, as long as they fit in 32 bits
+            odd = len(values) & 1
+            first = sizes[::2]
+            both, size = values[::2].copy(), first.copy()
+            both[: len(both) - odd] |= values[1::2] << first[: len(both) - odd].astype(np.uint64)
+            size[: len(both) - odd] += sizes[1::2]
+            values, sizes = both, size
+        self.values.append(values)
+        self.sizes.append(sizes)
 
     def bytes(self) -> bytes:
         self._flush()
@@ -571,56 +699,54 @@ class Writer:
         return (low + high).astype("<u4").tobytes()[: int(end[-1] + 7 >> 3)]
 
 
-def _put_code(w: Writer, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
-    if len(used) <= 2 and (len(used) == 0 or used[-1] < 256):
-        first = int(used[0]) if len(used) else 0
-        w.put(1, 1)
-        w.put(int(len(used) == 2), 1)
-        w.put(int(first > 1), 1)
+def _put_code(w: Writer, lengths: list[int]) -> None:
+    used = [k for k, n in enumerate(lengths) if n]
+    if len(used) <= 2 and (not used or used[-1] < 256):
+        first = used[0] if used else 0
+        w.put(1 | int(len(used) == 2) << 1 | int(first > 1) << 2, 3)
         w.put(first, 8 if first > 1 else 1)
         if len(used) == 2:
-            w.put(int(used[1]), 8)
+            w.put(used[1], 8)
         return
-    w.put(0, 1)
     rows: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    seq = lengths[: used[-1] + 1].tolist()
-    k, last = 0, 8
-    while k < len(seq):
-        v, run = seq[k], 1
-        while k + run < len(seq) and seq[k + run] == v:
+    seq, last = lengths[: used[-1] + 1], 8
+    value, run = seq[0], 0
+    for v in [*seq, -1]:
+        if v == value:
             run += 1
-        if v == 0 and run >= 3:
-            run = min(run, 138)
-            rows.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
-        elif v and v == last and run >= 3:
-            run = min(run, 6)
-            rows.append((16, run - 3, 2))
-        else:
-            run, last = 1, v or last
-            rows.append((v, 0, 0))
-        k += run
-    counts = np.bincount([r[0] for r in rows], minlength=19)
-    meta = code_lengths(counts, 7)
-    words = code_words(meta)
-    bits = meta if np.count_nonzero(meta) > 1 else np.zeros_like(meta)
-    shown = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if meta[s]) + 1)
-    w.put(shown - 4, 4)
+            continue
+        if value and value != last:
+            rows.append((value, 0, 0))
+            run, last = run - 1, value
+        while run >= 3:
+            now = min(run, 6 if value else 138)
+            rows.append((16, now - 3, 2) if value else (18, now - 11, 7) if now >= 11 else (17, now - 3, 3))
+            run -= now
+        if run:
+            rows += [(value, 0, 0)] * run
+        value, run = v, 1
+    counts = [0] * 19
+    for r in rows:
+        counts[r[0]] += 1
+    meta, words = _small_code(counts, 7)
+    sizes = meta if len(meta) - meta.count(0) > 1 else [0] * 19
+    shown = max(4, max([k for k, s in enumerate(LENGTH_ORDER) if meta[s]]) + 1)
+    bits, at = shown - 4 << 1, 5
     for s in LENGTH_ORDER[:shown]:
-        w.put(int(meta[s]), 3)
+        bits |= meta[s] << at
+        at += 3
     if len(seq) == len(lengths) or len(rows) < 2:
-        w.put(0, 1)
+        at += 1
         if len(seq) < len(lengths):  # too few rows for a count of them: the rest is said to be 0
             raise AssertionError("a full code has two symbols at least")
     else:
         need = max(1, ((len(rows) - 2).bit_length() + 1) // 2)
-        w.put(1, 1)
-        w.put(need - 1, 3)
-        w.put(len(rows) - 2, 2 * need)
+        bits |= (1 | need - 1 << 1 | len(rows) - 2 << 4) << at
+        at += 4 + 2 * need
     for s, extra, n in rows:
-        w.put(int(words[s]), int(bits[s]))
-        if n:
-            w.put(extra, n)
+        bits |= (words[s] | extra << sizes[s]) << at
+        at += sizes[s] + n
+    w.put(bits, at)
 
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -693,7 +819,7 @@ def _put_literals(w: Writer, flat: np.ndarray) -> None:
             continue
         c = ((flat >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)
         lengths = code_lengths(np.bincount(c, minlength=LITERALS if k else LITERALS + LENGTHS), 15)
-        _put_code(w, lengths)
+        _put_code(w, lengths.tolist())
         if np.count_nonzero(lengths) > 1:
             channels.append((code_words(lengths).take(c), lengths.take(c)))
     _put_single(w, 0)
@@ -709,7 +835,13 @@ def _put_single(w: Writer, symbol: int) -> None:
     w.put(symbol, 8 if symbol > 1 else 1)
 
 
-def _put_image(w: Writer, pixels: np.ndarray, main: bool, options: Options) -> None:
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    return {max(1, x + y * width): c + 1 for c, (x, y) in reversed(list(enumerate(near_distances())))}
+
+
+def _put_image(w: Writer, pixels: np.ndarray, main: bool, options: Options, repeats: list[tuple[int, int, int]] | None = None) -> None:
     height, width = pixels.shape
     flat = pixels.ravel()
     if not main or not (options.references or options.cache_bits or options.group_bits):
@@ -733,25 +865,22 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, options: Options) -> N
     kind = np.zeros(len(flat), np.int8)  # 0 literal, 1 reference, 2 cached, -1 within a reference
     length, distance = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
     if main and options.references:
-        for at, n, d in matches(flat, options.least):
+        for at, n, d in matches(flat, options.least) if repeats is None else repeats:
             kind[at : at + n] = -1
             kind[at], length[at], distance[at] = 1, n, d
     slot = np.zeros(len(flat), np.int64)
     if cache_bits:
         slot = ((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
         slot = slot.astype(np.int64)
-        held: dict[int, int] = {}
-        for i, (s, p) in enumerate(zip(slot.tolist(), flat.tolist(), strict=True)):
-            if kind[i] == 0 and held.get(s) == p:
-                kind[i] = 2
-            held[s] = p
+        order = np.argsort(slot, kind="stable")
+        held = order[1:][(slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])]
+        kind[held[kind[held] == 0]] = 2
     at = np.flatnonzero(kind >= 0)
     k, p, group = kind[at], flat[at].astype(np.int64), group_of[at]
-    near = {max(1, x + y * width): c + 1 for c, (x, y) in reversed(list(enumerate(near_distances())))}
     ls, le, ln = _prefix(np.maximum(length[at], 1))
-    codes = distance[at] + 120
-    if (k == 1).any():
-        codes = np.array([near.get(int(d), int(d) + 120) for d in distance[at]], np.int64)
+    near, codes = _near_codes(width), distance[at] + 120
+    refers = np.flatnonzero(k == 1)
+    codes[refers] = [near.get(d, d + 120) for d in distance[at[refers]].tolist()]
     ds, de, dn = _prefix(np.maximum(codes, 1))
     symbol = np.where(k == 0, (p >> 8) & 255, np.where(k == 1, LITERALS + ls, LITERALS + LENGTHS + slot[at]))
     alphabet = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
@@ -764,7 +893,7 @@ def _put_image(w: Writer, pixels: np.ndarray, main: bool, options: Options) -> N
         counts = [np.bincount(symbol[mine], minlength=alphabet), *[np.bincount(c[mine][literal], minlength=LITERALS) for c in channels], np.bincount(ds[mine][refer], minlength=DISTANCES)]
         lengths = [code_lengths(c, 15) for c in counts]
         for x in lengths:
-            _put_code(w, x)
+            _put_code(w, x.tolist())
         tables.append([(code_words(x), x if np.count_nonzero(x) > 1 else np.zeros_like(x)) for x in lengths])
     pick = lambda which, s: (tables[0][which][0][s], tables[0][which][1][s]) if len(groups) == 1 else tuple(np.stack([t[which][i] for t in tables])[group, s] for i in (0, 1))
     columns = [pick(0, symbol)]
@@ -823,7 +952,11 @@ def _put_palette(w: Writer, palette: np.ndarray, index: np.ndarray) -> np.ndarra
     w.put(len(palette) - 1, 8)
     b = _bytes_of(palette).astype(np.int32)
     _put_image(w, _pixels_of(np.diff(b, axis=0, prepend=0) & 255)[None, :], False, Options())
-    pack = _packing(len(palette))
+    return _packed(index, len(palette))
+
+
+def _packed(index: np.ndarray, colours: int) -> np.ndarray:
+    pack = _packing(colours)
     if pack:
         each, pad = 8 >> pack, -index.shape[1] % (1 << pack)
         index = np.pad(index, ((0, 0), (0, pad))).reshape(index.shape[0], -1, 1 << pack)
@@ -831,10 +964,13 @@ def _put_palette(w: Writer, palette: np.ndarray, index: np.ndarray) -> np.ndarra
     return index.astype(np.uint32) << 8 | np.uint32(0xFF000000)
 
 
-def _finish(w: Writer, pixels: np.ndarray, options: Options) -> bytes:
+def _finish(w: Writer, pixels: np.ndarray, options: Options, repeats: list[tuple[int, int, int]] | None = None) -> bytes:
     w.put(0, 1)
-    _put_image(w, pixels, True, options)
-    body = w.bytes()
+    _put_image(w, pixels, True, options, repeats)
+    return _file(w.bytes())
+
+
+def _file(body: bytes) -> bytes:
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -851,6 +987,30 @@ def _bits(counts: np.ndarray) -> float:
     return float((some * (np.log2(some.sum()) - np.log2(some))).sum())
 
 
+def _put_greens(w: Writer, values: list[int]) -> None:
+    """The palette of samples, colours that differ in green alone, as ``_put_palette`` has it: differences in green and, in the first colour, alpha."""
+    w.put(1 | PALETTE << 1 | len(values) - 1 << 3, 11)
+    w.put(0, 1)
+    steps, counts = [values[0], *[b - a for a, b in zip(values, values[1:], strict=False)]], [0] * (LITERALS + LENGTHS)
+    for d in steps:
+        counts[d] += 1
+    sizes, words = _small_code(counts, 15)
+    _put_code(w, sizes)
+    _put_single(w, 0)
+    _put_single(w, 0)
+    if len(values) == 1:
+        _put_single(w, 255)
+        _put_single(w, 0)
+        return
+    w.put(0b011, 3)  # alpha: 0, a bit 0, and 255, a bit 1
+    w.put(255 << 1, 9)
+    _put_single(w, 0)
+    if max(counts) == len(steps):  # a single step
+        sizes[steps[0]] = 0
+    for k, d in enumerate(steps):
+        w.put(words[d] | int(k == 0) << sizes[d], sizes[d] + 1)
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
     """A file of 8-bit samples (height, width), the smallest of several.
 
@@ -866,16 +1026,33 @@ def encode_samples(samples: np.ndarray) -> bytes:
     place = np.zeros(256, np.int64)
     place[values] = np.arange(len(values))
 
-    def coded(options: Options) -> bytes:
+    head = Writer()
+    head.put(0x2F | width - 1 << 8 | height - 1 << 22, 40)
+    _put_greens(head, values.tolist())
+
+    def begun() -> Writer:
         w = Writer()
-        for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
-            w.put(v, n)
-        return _finish(w, _put_palette(w, values.astype(np.uint32) << 8 | np.uint32(0xFF000000), place[samples]), options)
-
-    found = [coded(Options())]
-    if len(values) > 1 and 8 * len(zlib.compress(flat, 1)) < REPETITIVE * alone:
-        found += [coded(Options(references=True, least=REPEAT, cache_bits=n)) for n in CACHES]
-    if _bits(np.bincount(np.diff(flat), minlength=256)) < alone:
+        w.put(head.one, head.one_bits)
+        return w
+
+    def literals() -> bytes:
+        """Prefix codes alone, of indexes that have a pixel each."""
+        w = begun()
+        w.put(0, 1 + 2)
+        lengths = code_lengths(np.concatenate([counts[values], np.zeros(LITERALS + LENGTHS - len(values), np.int64)]), 15)
+        _put_code(w, lengths.tolist())
+        for v in (0, 0, 255, 0):
+            _put_single(w, v)
+        w.put_all(code_words(lengths).astype(np.uint64).take(place).take(flat), lengths.take(place).take(flat))
+        return _file(w.bytes())
+
+    repetitive = len(values) > 1 and 8 * len(zlib.compress(flat, 1)) < REPETITIVE * alone
+    packed = _packed(place[samples], len(values)) if repetitive or _packing(len(values)) else None
+    found = [_finish(begun(), packed, Options()) if _packing(len(values)) else literals()]
+    if repetitive:
+        repeats = matches(packed.ravel(), REPEAT)
+        found += [_finish(begun(), packed, Options(references=True, least=REPEAT, cache_bits=n), repeats) for n in CACHES]
+    if _bits(np.bincount(flat[1:] - flat[:-1], minlength=256)) < alone:
         found.append(encode(flat.reshape(height, width).astype(np.uint32) << 8 | np.uint32(0xFF000000), Options(predictor=1, block_bits=9)))
     return min(found, key=len)
 
